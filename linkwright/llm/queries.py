@@ -15,5 +15,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped_values(_table(spark, sf_dir, "source_records"), _table(spark, sf_dir, "ref_specialties"), _table(spark, sf_dir, "ref_facilities"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found,)}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwright.llm.entities import match_entities, person_rows
+
+    rows = person_rows(_table(spark, sf_dir, "source_records"), _table(spark, sf_dir, "source_canonical_mapping"), _table(spark, sf_dir, "ref_specialties"), _table(spark, sf_dir, "ref_facilities"))
+    return match_entities(rows).select("source_id_1", "source_id_2")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwright.llm.groups import consolidate, linked_pairs
+
+    return consolidate(linked_pairs(_table(spark, sf_dir, "match_pairs")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p6_found)}
 ORACLE_SQL: dict[str, str] = {}
