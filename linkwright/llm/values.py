@@ -174,11 +174,13 @@ def resolve_values(values: DataFrame, forms: DataFrame, threshold: float = 0.5,
     listed = spark.createDataFrame([(w,) for w in sorted({w for _, ws, _ in entries for w in ws})], "word string")
     known = {w: 0 for _, ws, _ in entries for w in ws} | {r["word"]: r["n"] for r in counted.join(F.broadcast(listed), "word").collect()}
     rarity = {w: i for i, w in enumerate(sorted(known, key=lambda w: (known[w], w)))}
-    # Reference side: tokens by global rarity; only the prefix that every set of Jaccard >= threshold meets is joined.
+    # Reference side: tokens by global rarity. All tokens of an entry have to be shared in the end, so need is their
+    # number, and the prefix that no set in question can miss is the rarest of them.
+    need = lambda r: max(math.ceil(threshold * r), r)
     index = []
     for ref_id, ws, cut in entries:
         toks = sorted(rarity[w] for w in ws)
-        index += [(rank, pos, ref_id, cut, toks) for pos, rank in enumerate(toks[: len(toks) - math.ceil(threshold * len(toks)) + 1])]
+        index += [(rank, pos, ref_id, cut, toks) for pos, rank in enumerate(toks[: len(toks) - need(len(toks)) + 1])]
     index = spark.createDataFrame(index, "token int, r_pos int, ref_id string, cut boolean, r_toks array<int>")
     ranks = spark.createDataFrame(list(rarity.items()), "token string, rank int")
 
@@ -190,13 +192,11 @@ def resolve_values(values: DataFrame, forms: DataFrame, threshold: float = 0.5,
         .agg(F.collect_list(F.struct("at", "to")).alias("l"))
     )
     # A typed word may be tied to several tokens, so the value's side has no one order: all of it probes the entries' prefixes.
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("k") + F.size("r_toks")))
     met = (
         probe.select("value", "k", "l", F.explode(F.array_distinct(F.flatten(F.transform("l", lambda w: F.transform(w["to"], lambda t: t["rank"]))))).alias("token"))
         .join(F.broadcast(index), "token")
         .filter((F.size("r_toks") >= F.ceil(F.lit(threshold) * F.col("k"))) & (F.col("k") >= F.ceil(F.lit(threshold) * F.size("r_toks"))))  # length filter
-        .groupBy("value", "k", "ref_id", "cut", "r_toks").agg(F.first("l").alias("l"), F.min("r_pos").alias("r_pos"))
-        .filter(F.size("r_toks") - F.col("r_pos") >= need)  # positional filter: nothing before the first shared token is shared
+        .filter((F.col("k") >= F.size("r_toks")) & (F.size("l") >= F.size("r_toks") - F.col("r_pos")))  # positional filter: enough tied words are left
     )
     # Exact verification: for each token of the entry the cheapest word of the value, each word once.
     best = F.transform("r_toks", lambda r: F.array_min(F.transform(F.filter("l", lambda w: F.exists(w["to"], lambda t: t["rank"] == r)), lambda w: F.struct(F.array_min(F.transform(F.filter(w["to"], lambda t: t["rank"] == r), lambda t: t["cost"])).alias("cost"), w["at"].alias("at")))))
