@@ -26,6 +26,17 @@ def name_words(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(low, "[^a-z]+", " "), " "), lambda w: (w != "") & ~w.isin(*NOT_NAMES))
 
 
+# Words in front of a surname that come and go.
+PARTICLES = ("de", "la", "del", "della", "dos", "das", "da", "di", "du", "le", "el", "al", "van", "der", "den", "von", "zu", "st", "y", "e")
+
+
+def surname_of(c: Column) -> Column:
+    """Letters of a typed surname: parts of double names in one order, particles left out unless nothing else is there."""
+    parts = name_words(F.regexp_replace(c, "-", " "))
+    firm = F.filter(parts, lambda w: ~w.isin(*PARTICLES))
+    return F.array_join(F.array_sort(F.when(F.size(firm) > 0, firm).otherwise(parts)), "")
+
+
 def zip5(c: Column) -> Column:
     """The first five digits of a zip that opens with five digits, else null."""
     return F.when(c.rlike(r"^\s*[0-9]{5}(-?[0-9]{4})?\s*$"), F.substring(F.trim(c), 1, 5))
@@ -93,7 +104,7 @@ def features(records: DataFrame, givens: DataFrame, specialties: DataFrame, faci
     """One row per row of source_records with what tells persons apart.
 
     source_id, source, surname, given (full form; null if only an initial is
-    known), initial, middle (initial), npi, specialty_id, facility_id, zip,
+    known), known_given (given, if it is on the list), initial, middle (initial), npi, specialty_id, facility_id, zip,
     state: strings, null where missing, malformed or unresolved. The parsed
     names are preferred, given and last name put right if they are swapped;
     where they are missing name_raw is parsed.
@@ -102,11 +113,11 @@ def features(records: DataFrame, givens: DataFrame, specialties: DataFrame, faci
         "source_id", "source", "specialty", "facility_name", *extra,
         valid_npi(F.col("npi")).alias("npi"), zip5(F.col("facility_zip")).alias("zip"), state_code(F.col("facility_state")).alias("state"),
         F.when(~F.coalesce(F.col("name_last").contains(","), F.lit(False)), F.array_join(name_words(F.col("name_first")), "")).alias("f"),
-        F.when(~F.coalesce(F.col("name_last").contains(","), F.lit(False)), F.array_join(name_words(F.col("name_last")), "")).alias("l"),
+        F.when(~F.coalesce(F.col("name_last").contains(","), F.lit(False)), surname_of(F.col("name_last"))).alias("l"),
         F.substring(F.array_join(name_words(F.col("name_middle")), ""), 1, 1).alias("mi"),
         F.coalesce(F.col("name_raw").rlike("[,;]"), F.lit(False)).alias("last_first"),
-        name_words(F.split(F.regexp_replace(F.col("name_raw"), r"(?i)[,;_ ]+(m\.?d|d\.?o|mbbs|ph\.?d|facs)\.?\b", ""), "[,;]")[0]).alias("a"),
-        name_words(F.split(F.regexp_replace(F.col("name_raw"), r"(?i)[,;_ ]+(m\.?d|d\.?o|mbbs|ph\.?d|facs)\.?\b", ""), "[,;]")[1]).alias("b"),
+        name_words(F.get(F.split(F.regexp_replace(F.col("name_raw"), r"(?i)[,;_ ]+(m\.?d|d\.?o|mbbs|ph\.?d|facs)\.?\b", ""), "[,;]"), F.lit(0))).alias("a"),
+        name_words(F.get(F.split(F.regexp_replace(F.col("name_raw"), r"(?i)[,;_ ]+(m\.?d|d\.?o|mbbs|ph\.?d|facs)\.?\b", ""), "[,;]"), F.lit(1))).alias("b"),
     )
     known = lambda on, to: givens.select(F.col("name").alias(on), F.col("given").alias(to))
     head = F.coalesce(F.get("b", F.lit(0)), F.lit(""))
@@ -126,6 +137,7 @@ def features(records: DataFrame, givens: DataFrame, specialties: DataFrame, faci
         "source_id", "source", "npi", "zip", "state", "specialty", "facility_name", *extra,
         F.nullif(F.when(parsed, F.when(swapped, F.col("f")).otherwise(F.col("l"))).otherwise(F.coalesce(raw_last, F.col("l"))), F.lit("")).alias("surname"),
         F.when(F.length(given) > 2, full).alias("given"),
+        F.when(parsed, F.when(swapped, F.col("l_is")).otherwise(F.col("f_is"))).otherwise(F.when(behind, F.col("final_is")).otherwise(F.col("first_is"))).alias("known_given"),
         F.nullif(F.substring(full, 1, 1), F.lit("")).alias("initial"),
         F.nullif(F.coalesce(F.nullif("mi", F.lit("")), F.substring(F.when(F.size("a") > 0, F.get(raw_rest, F.lit(0))), 1, 1)), F.lit("")).alias("middle"),
     )
