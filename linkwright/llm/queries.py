@@ -22,11 +22,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_entities(rows).select("source_id_1", "source_id_2")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from linkwright.llm.entities import person_rows
+    from linkwright.llm.variants import link_variants, spelling, variant_pairs
+
+    records, mapping = _table(spark, sf_dir, "source_records"), _table(spark, sf_dir, "source_canonical_mapping")
+    rows = person_rows(records.withColumn("raw", spelling(F.col("name_raw"))), mapping, _table(spark, sf_dir, "ref_specialties"), _table(spark, sf_dir, "ref_facilities"), ("raw",))
+    return variant_pairs(link_variants(rows.filter("label is null")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkwright.llm.groups import consolidate, linked_pairs
 
     return consolidate(linked_pairs(_table(spark, sf_dir, "match_pairs")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p6_found)}
 ORACLE_SQL: dict[str, str] = {}
