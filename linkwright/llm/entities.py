@@ -86,7 +86,8 @@ def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]
     """
     from linkwright.llm.groups import group_links
 
-    nodes = rows.withColumn("node", F.xxhash64("source_id"))
+    needed = dict.fromkeys(["source_id", "source", "label", "known_given", "middle", "initial", "npi9", *(x for _, a in rules for x in a if x != "letter")])
+    nodes = stored(rows.select(*needed).withColumn("node", F.xxhash64("source_id")), "nodes")
     w = Window.partitionBy("key")
     loose = [i for i, (_, a) in enumerate(rules) if "letter" in a]
     differ = lambda c: F.coalesce(F.min(c).over(w) != F.max(c).over(w), F.lit(False))
@@ -125,14 +126,14 @@ def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]
     )
 
 
-def person_rows(records: DataFrame, mapping: DataFrame, specialties: DataFrame, facilities: DataFrame) -> DataFrame:
+def person_rows(records: DataFrame, mapping: DataFrame, specialties: DataFrame, facilities: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """features() with label (canonical id of settled source_ids), and npi9, head and tail of npi and surname.
 
     Settled records beyond a sample of about MOST_LABELLED, whole entities by a hash, are left out.
     """
     labels = mapping.filter(F.col("source_id").isNotNull() & F.col("canonical_id").isNotNull()).groupBy("source_id").agg(F.min("canonical_id").alias("label"))
     share = labels.agg(F.least(F.lit(1.0), F.lit(MOST_LABELLED) / F.greatest(F.count(F.lit(1)), F.lit(1)))).first()[0]
-    rows = features(records.filter(F.col("source_id").isNotNull()), given_names(records, labels), specialties, facilities)
+    rows = features(records.filter(F.col("source_id").isNotNull()), given_names(records, labels), specialties, facilities, extra)
     rows = rows.join(labels.hint("shuffle_hash"), "source_id", "left").filter(F.col("label").isNull() | (F.pmod(F.xxhash64("label"), F.lit(1_000_000)) < share * 1_000_000))
     return rows.withColumns({
         "npi9": F.substring("npi", 2, 9),  # the first digit is the one most often mistyped

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkwright.llm.text import blank, squeezed, words_of
+from linkwright.storage import stored
 
 UNMATCHED = "UNMATCHED"
 MOST_ENTRIES = 100_000
@@ -157,7 +158,7 @@ def resolve_values(values: DataFrame, forms: DataFrame, threshold: float = 0.5,
     ratio times as often as the reference word it resembles is a word of its own.
     """
     spark = values.sparkSession
-    values = values.select("value", "n")
+    values = stored(values.select("value", "n"), "values")
     typed = values.filter(~blank(F.col("value"))).select(
         "value", "n",
         F.array_distinct(F.filter(words_of(F.col("value")), lambda w: ~w.isin(*NOISE))).alias("words"),
@@ -166,6 +167,7 @@ def resolve_values(values: DataFrame, forms: DataFrame, threshold: float = 0.5,
     # A value gives the set of its words and, where it may be a code or words run together, the one-word set of its letters.
     one = F.filter(F.array("whole"), lambda w: (w != "") & ((F.length(w) <= 12) | (F.size("words") <= 2)))
     sets = typed.select("value", "n", F.explode(F.array_distinct(F.array("words", one))).alias("words")).filter(F.size("words") > 0)
+    sets = stored(sets, "sets")  # distinct values only; used three times
     counted = sets.select(F.explode("words").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     # The reference list is bounded; its words, with their frequency among the values, go to every task.
     entries = [(r["ref_id"], r["tokens"], r["form"] == "cut") for r in forms.collect()]
