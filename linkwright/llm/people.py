@@ -100,21 +100,23 @@ def given_names(records: DataFrame, labels: DataFrame) -> DataFrame:
     return common.join(learned, "name", "full_outer").select("name", F.coalesce("given", "name").alias("given"), F.lit(True).alias("is_given"))
 
 
-def features(records: DataFrame, givens: DataFrame, specialties: DataFrame, facilities: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def features(records: DataFrame, givens: DataFrame, specialties: DataFrame, facilities: DataFrame, extra: tuple[str, ...] = (), as_written: bool = False) -> DataFrame:
     """One row per row of source_records with what tells persons apart.
 
     source_id, source, surname, given (full form; null if only an initial is
     known), known_given (given, if it is on the list), initial, middle (initial), npi, specialty_id, facility_id, zip,
     state: strings, null where missing, malformed or unresolved. The parsed
     names are preferred, given and last name put right if they are swapped;
-    where they are missing name_raw is parsed.
+    where they are missing name_raw is parsed. as_written adds surname_written,
+    given_written and middle_written: the words themselves, in their order.
     """
     rows = records.select(
         "source_id", "source", "specialty", "facility_name", *extra,
         valid_npi(F.col("npi")).alias("npi"), zip5(F.col("facility_zip")).alias("zip"), state_code(F.col("facility_state")).alias("state"),
         F.when(~F.coalesce(F.col("name_last").contains(","), F.lit(False)), F.array_join(name_words(F.col("name_first")), "")).alias("f"),
         F.when(~F.coalesce(F.col("name_last").contains(","), F.lit(False)), surname_of(F.col("name_last"))).alias("l"),
-        F.substring(F.array_join(name_words(F.col("name_middle")), ""), 1, 1).alias("mi"),
+        F.when(~F.coalesce(F.col("name_last").contains(","), F.lit(False)), F.array_join(name_words(F.col("name_last")), "")).alias("l_raw"),
+        F.array_join(name_words(F.col("name_middle")), "").alias("mi"),
         F.coalesce(F.col("name_raw").rlike("[,;]"), F.lit(False)).alias("last_first"),
         name_words(F.get(F.split(F.regexp_replace(F.col("name_raw"), r"(?i)[,;_ ]+(m\.?d|d\.?o|mbbs|ph\.?d|facs)\.?\b", ""), "[,;]"), F.lit(0))).alias("a"),
         name_words(F.get(F.split(F.regexp_replace(F.col("name_raw"), r"(?i)[,;_ ]+(m\.?d|d\.?o|mbbs|ph\.?d|facs)\.?\b", ""), "[,;]"), F.lit(1))).alias("b"),
@@ -133,13 +135,19 @@ def features(records: DataFrame, givens: DataFrame, specialties: DataFrame, faci
     raw_last = F.when(two, F.array_join("a", "")).when(behind, F.get("a", F.lit(0))).otherwise(F.col("final"))
     given = F.when(parsed, F.when(swapped, F.col("l")).otherwise(F.col("f"))).otherwise(raw_given)
     full = F.when(parsed, F.when(swapped, F.coalesce("l_is", "l")).otherwise(F.coalesce("f_is", "f"))).otherwise(F.when(behind, F.coalesce("final_is", "final")).otherwise(F.coalesce("first_is", "first")))
+    second = F.coalesce(F.nullif("mi", F.lit("")), F.when(F.size("a") > 0, F.get(raw_rest, F.lit(0))))
+    written = []
+    if as_written:
+        surname = F.when(parsed, F.when(swapped, F.col("f")).otherwise(F.col("l_raw"))).otherwise(F.coalesce(raw_last, F.col("l_raw")))
+        written = [F.nullif(surname, F.lit("")).alias("surname_written"), F.nullif(given, F.lit("")).alias("given_written"), F.nullif(second, F.lit("")).alias("middle_written")]
     rows = rows.select(
         "source_id", "source", "npi", "zip", "state", "specialty", "facility_name", *extra,
         F.nullif(F.when(parsed, F.when(swapped, F.col("f")).otherwise(F.col("l"))).otherwise(F.coalesce(raw_last, F.col("l"))), F.lit("")).alias("surname"),
         F.when(F.length(given) > 2, full).alias("given"),
         F.when(parsed, F.when(swapped, F.col("l_is")).otherwise(F.col("f_is"))).otherwise(F.when(behind, F.col("final_is")).otherwise(F.col("first_is"))).alias("known_given"),
         F.nullif(F.substring(full, 1, 1), F.lit("")).alias("initial"),
-        F.nullif(F.coalesce(F.nullif("mi", F.lit("")), F.substring(F.when(F.size("a") > 0, F.get(raw_rest, F.lit(0))), 1, 1)), F.lit("")).alias("middle"),
+        F.nullif(F.substring(second, 1, 1), F.lit("")).alias("middle"),
+        *written,
     )
     spec = map_typed(records.select("specialty"), "specialty", specialties, "specialty_id", "specialty_name", "short_code")
     fac = map_typed(records.select("facility_name"), "facility_name", facilities, "facility_id", "facility_name")

@@ -33,11 +33,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(link_variants(rows.filter("label is null")))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwright.llm.survivors import held_worse
+
+    return held_worse(*(_table(spark, sf_dir, t) for t in ("canonical_physicians", "source_records", "source_canonical_mapping", "ref_specialties", "ref_facilities")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkwright.llm.groups import consolidate, linked_pairs
 
     return consolidate(linked_pairs(_table(spark, sf_dir, "match_pairs")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found)}
 ORACLE_SQL: dict[str, str] = {}
