@@ -17,14 +17,23 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("npi_surname", ("npi9", "surname")),
     ("name_facility", ("surname", "given", "facility_id")),
     ("name_specialty", ("surname", "given", "specialty_id")),
+    ("name_zip", ("surname", "given", "zip")),
     ("initial_facility_specialty", ("surname", "initial", "facility_id", "specialty_id")),
+    ("npi_given", ("npi9", "given")),
     ("initial_facility", ("surname", "initial", "facility_id")),
     ("initial_specialty_state", ("surname", "initial", "specialty_id", "state")),
     ("head_facility_specialty", ("head", "initial", "facility_id", "specialty_id")),
     ("tail_facility_specialty", ("tail", "initial", "facility_id", "specialty_id")),
     ("letter_facility_specialty", ("surname", "letter", "facility_id", "specialty_id")),
     ("head_facility", ("head", "initial", "facility_id")),
+    ("tail_facility", ("tail", "initial", "facility_id")),
+    ("initial_specialty_zip", ("surname", "initial", "specialty_id", "zip")),
+    ("head_given_facility", ("head", "given", "facility_id")),
+    ("tail_given_facility", ("tail", "given", "facility_id")),
     ("head_given_zip", ("head", "given", "zip")),
+    ("tail_given_zip", ("tail", "given", "zip")),
+    ("head_middle_facility", ("head", "initial", "middle", "facility_id")),
+    ("tail_middle_facility", ("tail", "initial", "middle", "facility_id")),
     ("name", ("surname", "given")),
 )
 #: A rule's links are used if so large a share of the labelled ones, smoothed, is right.
@@ -101,10 +110,18 @@ def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]
         return rows.sparkSession.createDataFrame([], "source_id_1 string, source_id_2 string, rule string, confidence double")
     conf = F.element_at(F.create_map(*[F.lit(x) for kv in trusted.items() for x in kv]), F.col("rule"))
     links = star.filter(F.col("rule").isin(*trusted)).join(label.select("node"), "node", "left_anti").join(label.select(F.col("node").alias("to")), "to", "left_anti")
-    first = links.groupBy("node").agg(F.min("rule").alias("rule"))
-    group = (groups or group_links)(links.select(F.col("node").alias("a"), F.col("to").alias("b")).distinct())
+    joined = groups or group_links
+    # Each record's first rule gives a forest; its trees are groups. The other links matter only where they connect two.
+    first = stored(links.groupBy("node").agg(F.min_by("to", "rule").alias("to"), F.min("rule").alias("rule")), "first")
+    tree = stored(joined(first.select(F.col("node").alias("a"), F.col("to").alias("b"))), "trees")
+    crossing = (
+        links.select("node", "to").join(tree.select("node", F.col("group").alias("a")), "node").select("to", "a")
+        .join(tree.select(F.col("node").alias("to"), F.col("group").alias("b")), "to", "left").select("a", F.coalesce("b", "to").alias("b")).filter("a <> b").distinct()
+    )
+    upper = joined(crossing).select(F.col("node").alias("group"), F.col("group").alias("top"))
+    group = tree.join(upper, "group", "left").select("node", F.coalesce("top", "group").alias("group"))
     members = (
-        group.join(first, "node", "left")
+        group.join(first.select("node", "rule"), "node", "left")
         .join(nodes.filter("label is null").select("node", "source_id", "source").distinct(), "node")
         .select("group", "source_id", "source", F.coalesce("rule", F.lit(0)).alias("rule"))
     )
