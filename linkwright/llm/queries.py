@@ -45,5 +45,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate(linked_pairs(_table(spark, sf_dir, "match_pairs")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwright.llm.leakage import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_passages")).select("doc_id", "eval_id").distinct()
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwright.llm.lookalikes import equal_pairs
+
+    return equal_pairs(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p8_found, p9_found)}
 ORACLE_SQL: dict[str, str] = {}
