@@ -45,6 +45,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate(linked_pairs(_table(spark, sf_dir, "match_pairs")))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from linkwright.llm.packing import containers, sized
+
+    return containers(sized(_table(spark, sf_dir, "documents")))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkwright.llm.leakage import leaks
 
@@ -57,5 +63,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return equal_pairs(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_containers, p8_found, p9_found)}
 ORACLE_SQL: dict[str, str] = {}
