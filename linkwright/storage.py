@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +31,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_checked(left: DataFrame, right: DataFrame, on: str, how: str = "left", most_rows: int = 300_000) -> DataFrame:
+    """left joined with a stored table right: broadcast if it was counted and has at most most_rows, else shuffled with right as the hashed side."""
+    return left.join(F.broadcast(right) if right.count() <= most_rows else right.hint("shuffle_hash"), on, how)
+
+
 def release(spark: SparkSession) -> None:
     """Remove every table that stored() wrote under this session's shared folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tables")
