@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkwright.llm.text import blank, plain, squeezed
 from linkwright.llm.values import map_typed
+from linkwright.storage import join_checked, stored
 
 # Titles, credentials and generation marks, as single words without dots.
 TITLES = ("dr", "prof", "professor", "mr", "mrs", "ms", "doctor")
@@ -100,7 +101,7 @@ def given_names(records: DataFrame, labels: DataFrame) -> DataFrame:
     return common.join(learned, "name", "full_outer").select("name", F.coalesce("given", "name").alias("given"), F.lit(True).alias("is_given"))
 
 
-def features(records: DataFrame, givens: DataFrame, specialties: DataFrame, facilities: DataFrame, extra: tuple[str, ...] = (), as_written: bool = False) -> DataFrame:
+def features(records: DataFrame, givens: DataFrame, specialties: DataFrame, facilities: DataFrame, extra: tuple[str, ...] = (), as_written: bool = False, places: bool = True) -> DataFrame:
     """One row per row of source_records with what tells persons apart.
 
     source_id, source, surname, given (full form; null if only an initial is
@@ -108,7 +109,8 @@ def features(records: DataFrame, givens: DataFrame, specialties: DataFrame, faci
     state: strings, null where missing, malformed or unresolved. The parsed
     names are preferred, given and last name put right if they are swapped;
     where they are missing name_raw is parsed. as_written adds surname_written,
-    given_written and middle_written: the words themselves, in their order.
+    given_written and middle_written: the words themselves, in their order;
+    without places, specialty_id and facility_id are left out.
     """
     rows = records.select(
         "source_id", "source", "specialty", "facility_name", *extra,
@@ -149,11 +151,12 @@ def features(records: DataFrame, givens: DataFrame, specialties: DataFrame, faci
         F.nullif(F.substring(second, 1, 1), F.lit("")).alias("middle"),
         *written,
     )
+    if not places:
+        return rows.drop("specialty", "facility_name")
     spec = map_typed(records.select("specialty"), "specialty", specialties, "specialty_id", "specialty_name", "short_code")
     fac = map_typed(records.select("facility_name"), "facility_name", facilities, "facility_id", "facility_name")
     for field, mapping, to in (("specialty", spec, "specialty_id"), ("facility_name", fac, "facility_id")):
-        # A few values are hot, the values distinct: build the table from the small side, in place of a sort of the rows.
         mapping = mapping.filter("ref_id <> 'UNMATCHED'").select(F.col("value").alias(field), F.col("ref_id").alias(to))
-        rows = rows.join(mapping.hint("shuffle_hash"), field, "left")
+        rows = join_checked(rows, stored(mapping, "mapping"), field)
     # A facility that is on no list still serves as a place, by its letters.
     return rows.withColumn("facility_id", F.coalesce("facility_id", F.when(~blank(F.col("facility_name")) & (F.length("facility_name") > 14), squeezed(F.col("facility_name"))))).drop("specialty", "facility_name")

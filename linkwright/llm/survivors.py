@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from linkwright.llm.people import features, given_names, name_words
 from linkwright.llm.text import blank, squeezed
 from linkwright.llm.values import UNMATCHED, map_typed
-from linkwright.storage import stored
+from linkwright.storage import join_checked, stored
 
 # How far each source is trusted.
 TRUST = {"cms": 3, "license": 2, "hospital": 1, "publication": 0}
@@ -88,9 +88,9 @@ def group_evidence(records: DataFrame, mapping: DataFrame, specialties: DataFram
     pairs = mapping.select("source_id", F.col("canonical_id").alias("group")).filter("source_id is not null and group is not null").distinct()
     said = records.join(pairs.hint("shuffle_hash"), "source_id")
     labels = pairs.groupBy("source_id").agg(F.min("group").alias("label"))
-    rows = features(said, given_names(said, labels), specialties, facilities, ("group", "as_of", F.col("specialty").alias("spec"), F.col("facility_name").alias("fac")), True)
-    rows = rows.join(spec_ids.select(F.col("value").alias("spec"), F.col("ref_id").alias("spec_id"), F.col("full").alias("spec_full")).hint("shuffle_hash"), "spec", "left")
-    rows = rows.join(fac_ids.select(F.col("value").alias("fac"), F.col("ref_id").alias("fac_id"), F.col("full").alias("fac_full")).hint("shuffle_hash"), "fac", "left")
+    rows = features(said, given_names(said, labels), specialties, facilities, ("group", "as_of", F.col("specialty").alias("spec"), F.col("facility_name").alias("fac")), True, False)
+    rows = join_checked(rows, spec_ids.select(F.col("value").alias("spec"), F.col("ref_id").alias("spec_id"), F.col("full").alias("spec_full")), "spec")
+    rows = join_checked(rows, fac_ids.select(F.col("value").alias("fac"), F.col("ref_id").alias("fac_id"), F.col("full").alias("fac_full")), "fac")
     trust = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv]), F.col("source")), F.lit(0))
     known = F.col("known_given").isNotNull()
     said_of = [

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkwright.llm.text import blank, squeezed, words_of
-from linkwright.storage import stored
+from linkwright.storage import join_checked, stored
 
 UNMATCHED = "UNMATCHED"
 MOST_ENTRIES = 100_000
@@ -230,5 +230,5 @@ def mapped_values(records: DataFrame, specialties: DataFrame, facilities: DataFr
         # The reference list is bounded; the join drops entries written letter for letter.
         odd = odd.join(F.broadcast(refs.select(F.col(name).alias("value")).filter(F.col("value").isNotNull()).distinct()), "value", "left_anti")
         mapping = map_typed(records.select(field), field, refs, ref_id, name, code)
-        rows.append(odd.join(mapping, "value").select("record_id", F.lit(field).alias("field"), "ref_id"))
+        rows.append(join_checked(odd, stored(mapping, "mapping"), "value", "inner").select("record_id", F.lit(field).alias("field"), "ref_id"))
     return rows[0].unionByName(rows[1])
