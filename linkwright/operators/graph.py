@@ -234,7 +234,7 @@ def articulation_points(edges: DataFrame, components: DataFrame) -> DataFrame:
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         _, cuts = bridges_and_cuts(zip(part["src"], part["dst"]))
-        return pd.DataFrame({"component": part["component"].iloc[0], "id": sorted(cuts)})
+        return pd.DataFrame([(part["component"].iloc[0], x) for x in sorted(cuts)], columns=["component", "id"], dtype=object)
 
     return _by_component(edges, components, run, "component string, id string")
 
