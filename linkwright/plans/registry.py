@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from linkwright.plans import quality, resolution
+from linkwright.plans import network, quality, resolution
 
-MODULES = (quality, resolution)
+MODULES = (quality, resolution, network)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

@@ -209,13 +209,15 @@ def candidate_pairs_with_sound(spark, sf_dir):
     return blocking.candidate_pairs(latest(spark, sf_dir), sound=True, hot_block=1000)
 
 
+# DuckDB's metric compares bytes: letters of two bytes are written as letters of one that upper-case names don't have.
+_ONE = "translate({}, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖØÙÚÛÜ', 'abcdefghijklmnopqrstuvwxy')"
 _SIM = (
     _PAIR
     + r""", k as (select id, a, b, translate(upper(regexp_replace(a.name_last, '^\s+|\s+$', '', 'g')), '''- ', '') as l1, translate(upper(regexp_replace(b.name_last, '^\s+|\s+$', '', 'g')), '''- ', '') as l2,
   upper(regexp_replace(a.name_first, '^\s+|\s+$', '', 'g')) as f1, upper(regexp_replace(b.name_first, '^\s+|\s+$', '', 'g')) as f2 from p)"""
     + f""", h as (select *, {_H} as h from k), d as (select *, {_D} as d from h),
-s as (select id, case when coalesce(l1, '') = '' or coalesce(l2, '') = '' then 0 when l1 = l2 then 1 else jaro_winkler_similarity(l1, l2) end as last_score,
-  case when coalesce(f1, '') = '' or coalesce(f2, '') = '' then 0.5 when f1 = f2 then 1 when (length(f1) = 1 or length(f2) = 1) and f1[1] = f2[1] then 0.8 else jaro_winkler_similarity(f1, f2) end as first_score,
+s as (select id, case when coalesce(l1, '') = '' or coalesce(l2, '') = '' then 0 when l1 = l2 then 1 else jaro_winkler_similarity({_ONE.format('l1')}, {_ONE.format('l2')}) end as last_score,
+  case when coalesce(f1, '') = '' or coalesce(f2, '') = '' then 0.5 when f1 = f2 then 1 when (length(f1) = 1 or length(f2) = 1) and f1[1] = f2[1] then 0.8 else jaro_winkler_similarity({_ONE.format('f1')}, {_ONE.format('f2')}) end as first_score,
   {_LOC} as location_score, case when regexp_full_match(a.npi, '[0-9]{{10}}') and regexp_full_match(b.npi, '[0-9]{{10}}') then case when a.npi = b.npi then 1.0::double else 0.0::double end end as npi_match from d)
 select id, npi_match, round(last_score, 6) as last_score, round(first_score, 6) as first_score, round(0.6 * last_score + 0.4 * first_score, 6) as name_score, location_score from s"""
 )
