@@ -11,7 +11,7 @@ from linkwright.storage import stored
 FIELDS = ("npi", "facility_zip", "facility_state")
 
 
-def tests_of(zips: DataFrame) -> dict:
+def well_formed(zips: DataFrame) -> dict:
     """Well-formed values of the three fields; states are those of zip_centroids, a reference list that doesn't grow."""
     states = [r["state"] for r in zips.select("state").filter("state is not null").distinct().limit(1000).collect()]
     return {
@@ -27,12 +27,12 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tests = tests_of(spark.read.parquet(f"{sf_dir}/zip_centroids.parquet"))
+    tests = well_formed(spark.read.parquet(f"{sf_dir}/zip_centroids.parquet"))
     return unusual_loads(_counts(spark, sf_dir), tests, "load_id", "source").select("load_id", "field", "finding")
 
 
 def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tests = tests_of(spark.read.parquet(f"{sf_dir}/zip_centroids.parquet"))
+    tests = well_formed(spark.read.parquet(f"{sf_dir}/zip_centroids.parquet"))
     counts = _counts(spark, sf_dir)
     return profile(counts, tests, ("source", "load_id")).select(
         "source", "load_id", "field", "n_rows", "n_missing", "n_malformed", "n_distinct", "least", "greatest", "top_value", "top_rows", F.round("entropy", 6).alias("entropy"), F.round("share_missing", 6).alias("share_missing"), F.round("share_malformed", 6).alias("share_malformed")

@@ -209,8 +209,8 @@ def candidate_pairs_with_sound(spark, sf_dir):
     return blocking.candidate_pairs(latest(spark, sf_dir), sound=True, hot_block=1000)
 
 
-# DuckDB's metric compares bytes: letters of two bytes are written as letters of one that upper-case names don't have.
-_ONE = "translate({}, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖØÙÚÛÜ', 'abcdefghijklmnopqrstuvwxy')"
+# DuckDB's metric compares bytes: characters of several bytes are written as signs that upper-case names don't have.
+_ONE = "translate({}, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖØÙÚÛÜ’', 'abcdefghijklmnopqrstuvwxyz#')"
 _SIM = (
     _PAIR
     + r""", k as (select id, a, b, translate(upper(regexp_replace(a.name_last, '^\s+|\s+$', '', 'g')), '''- ', '') as l1, translate(upper(regexp_replace(b.name_last, '^\s+|\s+$', '', 'g')), '''- ', '') as l2,
