@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkwright.llm.groups import follow, group_links
 from linkwright.llm.people import features, given_names
 from linkwright.storage import stored
 
@@ -83,8 +84,6 @@ def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]
     key never gives pairs, only one link for each record that has it, however
     many do. Pairs are made only within the entities found.
     """
-    from linkwright.llm.groups import group_links
-
     needed = dict.fromkeys(["source_id", "source", "label", "known_given", "middle", "initial", "npi9", *(x for _, a in rules for x in a if x != "letter")])
     nodes = stored(rows.select(*needed).withColumn("node", F.xxhash64("source_id")), "nodes")
     w = Window.partitionBy("key")
@@ -113,10 +112,10 @@ def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]
     joined = groups or group_links
     # Each record's first rule gives a forest; its trees are groups. The other links matter only where they connect two.
     first = stored(links.groupBy("node").agg(F.min_by("to", "rule").alias("to"), F.min("rule").alias("rule")), "first")
-    tree = stored(joined(first.select(F.col("node").alias("a"), F.col("to").alias("b"))), "trees")
+    tree = stored(follow(first), "trees")
     crossing = (
-        links.select("node", "to").join(tree.select("node", F.col("group").alias("a")), "node").select("to", "a")
-        .join(tree.select(F.col("node").alias("to"), F.col("group").alias("b")), "to", "left").select("a", F.coalesce("b", "to").alias("b")).filter("a <> b").distinct()
+        links.select("node", "to").join(tree.select("node", F.col("group").alias("a")).hint("shuffle_hash"), "node").select("to", "a")
+        .join(tree.select(F.col("node").alias("to"), F.col("group").alias("b")).hint("shuffle_hash"), "to", "left").select("a", F.coalesce("b", "to").alias("b")).filter("a <> b").distinct()
     )
     upper = joined(crossing).select(F.col("node").alias("group"), F.col("group").alias("top"))
     group = tree.join(upper, "group", "left").select("node", F.coalesce("top", "group").alias("group"))

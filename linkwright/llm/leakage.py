@@ -210,10 +210,11 @@ def leaks(docs: DataFrame, passages: DataFrame, phrase: int = PHRASE, shard_word
                     shard.append((i, np.array([number.get(w, 1) for w, _, _ in ws], dtype="int64"), [(x, y) for _, x, y in ws]))
                     size += len(ws) + 1
                     if size >= shard_words:
-                        yield searched(shard)
+                        if len(found := searched(shard)):
+                            yield found
                         shard, size = [], 0
-        if shard:
-            yield searched(shard)
+        if shard and len(found := searched(shard)):
+            yield found
 
     schema = "doc_id long, eval_id string, first_word int, last_word int, start int, stop int"
     if not len(patterns):

@@ -24,7 +24,9 @@ def name_words(c: Column) -> Column:
     low = F.regexp_replace(plain(c), "['’`-]", "")
     low = F.regexp_replace(low, r"(?<=\b[a-z])\.(?=[a-z]\.|[a-z]\b)", "")  # m.d. to md
     low = F.translate(low, "01358", "olesb")
-    return F.filter(F.split(F.regexp_replace(low, "[^a-z]+", " "), " "), lambda w: (w != "") & ~w.isin(*NOT_NAMES))
+    words = F.filter(F.split(F.regexp_replace(low, "[^a-z]+", " "), " "), lambda w: (w != "") & ~w.isin(*NOT_NAMES))
+    # Most parsed names are one word of plain letters.
+    return F.when(c.rlike("^[A-Za-z]{5,}$"), F.array(F.lower(c))).otherwise(words)
 
 
 # Words in front of a surname that come and go.
@@ -35,7 +37,8 @@ def surname_of(c: Column) -> Column:
     """Letters of a typed surname: parts of double names in one order, particles left out unless nothing else is there."""
     parts = name_words(F.regexp_replace(c, "-", " "))
     firm = F.filter(parts, lambda w: ~w.isin(*PARTICLES))
-    return F.array_join(F.array_sort(F.when(F.size(firm) > 0, firm).otherwise(parts)), "")
+    sorted_ = F.array_join(F.array_sort(F.when(F.size(firm) > 0, firm).otherwise(parts)), "")
+    return F.when(c.rlike("^[A-Za-z]{5,}$"), F.lower(c)).otherwise(sorted_)
 
 
 def zip5(c: Column) -> Column:
@@ -117,7 +120,7 @@ def features(records: DataFrame, givens: DataFrame, specialties: DataFrame, faci
         valid_npi(F.col("npi")).alias("npi"), zip5(F.col("facility_zip")).alias("zip"), state_code(F.col("facility_state")).alias("state"),
         F.when(~F.coalesce(F.col("name_last").contains(","), F.lit(False)), F.array_join(name_words(F.col("name_first")), "")).alias("f"),
         F.when(~F.coalesce(F.col("name_last").contains(","), F.lit(False)), surname_of(F.col("name_last"))).alias("l"),
-        F.when(~F.coalesce(F.col("name_last").contains(","), F.lit(False)), F.array_join(name_words(F.col("name_last")), "")).alias("l_raw"),
+        *([F.when(~F.coalesce(F.col("name_last").contains(","), F.lit(False)), F.array_join(name_words(F.col("name_last")), "")).alias("l_raw")] if as_written else []),
         F.array_join(name_words(F.col("name_middle")), "").alias("mi"),
         F.coalesce(F.col("name_raw").rlike("[,;]"), F.lit(False)).alias("last_first"),
         name_words(F.get(F.split(F.regexp_replace(F.col("name_raw"), r"(?i)[,;_ ]+(m\.?d|d\.?o|mbbs|ph\.?d|facs)\.?\b", ""), "[,;]"), F.lit(0))).alias("a"),

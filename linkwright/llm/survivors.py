@@ -53,7 +53,8 @@ def layers(candidates: DataFrame) -> DataFrame:
                     fresh.append(((a, c, t), lay))
                     top[a, c, t] = max(top[a, c, t], lay)
                 out[at] = lay
-            yield b.drop(columns="seconds").assign(layer=out)
+            if len(b):
+                yield b.drop(columns="seconds").assign(layer=out)
 
     keep = ["group", "field", "value", "form", "agreement", "completeness", "trust"]
     rows = candidates.select(*keep, F.coalesce(F.unix_micros(F.col("recency").cast("timestamp")), F.lit(-(2**62))).alias("seconds"), F.col("recency").cast("timestamp").alias("recency"))

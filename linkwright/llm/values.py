@@ -73,7 +73,7 @@ class WordIndex:
             self.by_letter.setdefault(w[:1], []).append(w)
             for d in deletions(w, self.slips_in(w)):
                 self.near.setdefault(d, []).append(w)
-            for k in range(4, min(9, len(w) - 1)) if len(w) <= 20 else ():
+            for k in range(5, min(9, len(w) - 1)) if len(w) <= 20 else ():
                 for d in deletions(w[:k], 1):
                     self.begun.setdefault(d, set()).add(w)
 
@@ -99,15 +99,15 @@ class WordIndex:
             for v in self.by_letter.get(w[0], ()):
                 if len(v) > len(w):
                     if v.startswith(w):
-                        found.setdefault(v, 1)
+                        found.setdefault(v, 1 if len(v) <= 16 else 2)
                     elif len(v) >= len(w) + 2:
                         it = iter(v)
                         if all(x in it for x in w):
-                            found.setdefault(v, 2)
+                            found.setdefault(v, 2 if len(v) <= 16 else 4)
         if w not in self.words:
             for v, k in self.slips(w, n, ratio):
                 found[v] = min(found.get(v, 9), k)
-        if not found and 4 <= len(w) <= 8:  # a slip in a shortened word
+        if not found and 5 <= len(w) <= 8:  # a slip in a shortened word
             found = {v: 3 for d in deletions(w, 1) for v in self.begun.get(d, ())}
         return found
 
@@ -119,7 +119,8 @@ def _tie_words(words: DataFrame, known: Mapping[str, int], short_forms: Mapping[
         index = WordIndex(known, short_forms)
         for b in batches:
             rows = [(w, v, c) for w, n in zip(b["word"], b["n"]) for v, c in index.find(w, n, ratio).items()]
-            yield pd.DataFrame(rows, columns=["word", "token", "cost"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["word", "token", "cost"])
 
     return words.mapInPandas(run, "word string, token string, cost int")
 
@@ -151,7 +152,8 @@ def resolve_values(values: DataFrame, forms: DataFrame, threshold: float = 0.5,
     forms is reference_forms(). Values without an entry come out with
     ref_id 'UNMATCHED'; null and blank values come out too, unmatched. A tie
     between entries (the same Jaccard and cost) is settled by the smaller
-    ref_id if the forms are one spelling, else the value is unmatched. Empty
+    ref_id if the forms are one spelling, else the value is unmatched. Codes,
+    names run together and names cut short must make up all of a value. Empty
     inputs give empty results; an empty reference list leaves all unmatched.
 
     Word frequencies are counted over all values. A word that occurs more than
@@ -165,12 +167,12 @@ def resolve_values(values: DataFrame, forms: DataFrame, threshold: float = 0.5,
         squeezed(F.col("value")).alias("whole"),
     )
     # A value gives the set of its words and, where it may be a code or words run together, the one-word set of its letters.
-    one = F.filter(F.array("whole"), lambda w: (w != "") & ((F.length(w) <= 12) | (F.size("words") <= 2)))
+    one = F.filter(F.array("whole"), lambda w: (w != "") & ((F.length(w) <= 12) | (F.size("words") <= 2) | ~F.col("value").rlike(r"\S\s+\S")))
     sets = typed.select("value", "n", F.explode(F.array_distinct(F.array("words", one))).alias("words")).filter(F.size("words") > 0)
     sets = stored(sets, "sets")  # distinct values only; used three times
     counted = sets.select(F.explode("words").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     # The reference list is bounded; its words, with their frequency among the values, go to every task.
-    entries = [(r["ref_id"], r["tokens"], r["form"] == "cut") for r in forms.collect()]
+    entries = [(r["ref_id"], r["tokens"], r["form"] != "words") for r in forms.collect()]
     if len(entries) > MOST_ENTRIES:
         raise ValueError(f"more than {MOST_ENTRIES} reference entries")
     listed = spark.createDataFrame([(w,) for w in sorted({w for _, ws, _ in entries for w in ws})], "word string")
@@ -186,28 +188,27 @@ def resolve_values(values: DataFrame, forms: DataFrame, threshold: float = 0.5,
     index = spark.createDataFrame(index, "token int, r_pos int, ref_id string, cut boolean, r_toks array<int>")
     ranks = spark.createDataFrame(list(rarity.items()), "token string, rank int")
 
-    tied = _tie_words(counted, known, short_forms, ratio).join(F.broadcast(ranks), "token").groupBy("word").agg(F.collect_list(F.struct("rank", "cost")).alias("to"))
-    probe = (
-        sets.select("value", F.size("words").alias("k"), F.posexplode("words").alias("at", "word"))
-        .join(tied, "word")
-        .groupBy("value", "k")
-        .agg(F.collect_list(F.struct("at", "to")).alias("l"))
-    )
+    # A tie is one number: the token's rank, the cost, and (below) where the word stands.
+    tied = _tie_words(counted, known, short_forms, ratio).join(F.broadcast(ranks), "token").groupBy("word").agg(F.collect_list(F.col("rank") * 65536 + F.col("cost") * 256).alias("to"))
+    placed = sets.select("value", F.size("words").alias("k"), F.posexplode("words").alias("at", "word")).join(tied, "word")
+    probe = placed.select("value", "k", F.explode("to").alias("t"), F.least("at", F.lit(255)).alias("at")).groupBy("value", "k").agg(F.collect_list(F.col("t") + F.col("at")).alias("l"))
     # A typed word may be tied to several tokens, so the value's side has no one order: all of it probes the entries' prefixes.
     met = (
-        probe.select("value", "k", "l", F.explode(F.array_distinct(F.flatten(F.transform("l", lambda w: F.transform(w["to"], lambda t: t["rank"]))))).alias("token"))
+        probe.select("value", "k", "l", F.explode(F.array_distinct(F.transform("l", lambda t: F.shiftright(t, 16)))).alias("token"))
         .join(F.broadcast(index), "token")
         .filter((F.size("r_toks") >= F.ceil(F.lit(threshold) * F.col("k"))) & (F.col("k") >= F.ceil(F.lit(threshold) * F.size("r_toks"))))  # length filter
         .filter((F.col("k") >= F.size("r_toks")) & (F.size("l") >= F.size("r_toks") - F.col("r_pos")))  # positional filter: enough tied words are left
     )
-    # Exact verification: for each token of the entry the cheapest word of the value, each word once.
-    best = F.transform("r_toks", lambda r: F.array_min(F.transform(F.filter("l", lambda w: F.exists(w["to"], lambda t: t["rank"] == r)), lambda w: F.struct(F.array_min(F.transform(F.filter(w["to"], lambda t: t["rank"] == r), lambda t: t["cost"])).alias("cost"), w["at"].alias("at")))))
+    # Exact verification: for each token of the entry the cheapest word of the value, each word once. Exploding an array of
+    # one keeps what follows from being computed again in every filter.
+    best = F.transform("r_toks", lambda r: F.array_min(F.filter("l", lambda t: F.shiftright(t, 16) == r)))
     checked = (
-        met.select("value", "k", "ref_id", "cut", F.size("r_toks").alias("r"), best.alias("hit"))
-        .withColumn("m", F.size(F.array_distinct(F.transform(F.filter("hit", lambda h: h.isNotNull()), lambda h: h["at"]))))
+        met.select("value", "k", "ref_id", "cut", F.size("r_toks").alias("r"), F.explode(F.array(best)).alias("hit"))
+        .filter(~F.exists("hit", lambda h: h.isNull()))
+        .withColumn("m", F.size(F.array_distinct(F.transform("hit", lambda h: h.bitwiseAND(255)))))
         .withColumn("jaccard", F.col("m") / (F.col("k") + F.col("r") - F.col("m")))
         .filter((F.col("jaccard") >= threshold) & (F.col("m") == F.col("r")) & (~F.col("cut") | (F.col("m") == F.col("k"))))
-        .withColumn("cost", F.aggregate("hit", F.lit(0), lambda a, h: a + h["cost"]))
+        .withColumn("cost", F.aggregate("hit", F.lit(0), lambda a, h: a + F.shiftright(h, 8).bitwiseAND(255).cast("int")))
         .groupBy("value", "ref_id").agg(F.min(F.struct(F.col("cost") + 2 * (F.col("k") - F.col("m")), "cost")).alias("s"))
         .groupBy("value").agg(F.min(F.struct(F.col("s"), F.col("ref_id"))).alias("one"), F.sort_array(F.collect_list("s")).alias("all"))
         .select("value", F.when((F.size("all") > 1) & (F.col("all")[0] == F.col("all")[1]), F.lit(UNMATCHED)).otherwise(F.col("one.ref_id")).alias("ref_id"))
