@@ -64,4 +64,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_containers, p8_found, p9_found)}
-ORACLE_SQL: dict[str, str] = {}
+P6_SQL = """
+with recursive l as (select source_id_1 as a, source_id_2 as b from match_pairs where lower(trim(match_decision)) = 'match' and source_id_1 <> source_id_2),
+both_ways as (select a, b from l union select b, a from l),
+reach(id, r) as (select a, a from both_ways union select reach.id, both_ways.b from reach join both_ways on reach.r = both_ways.a)
+select id as source_id, min(r) as group_id from reach group by 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"p6_found": P6_SQL}
