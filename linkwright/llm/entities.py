@@ -18,7 +18,6 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("npi_surname", ("npi9", "surname")),
     ("name_facility", ("surname", "given", "facility_id")),
     ("name_specialty", ("surname", "given", "specialty_id")),
-    ("name_zip", ("surname", "given", "zip")),
     ("initial_facility_specialty", ("surname", "initial", "facility_id", "specialty_id")),
     ("npi_given", ("npi9", "given")),
     ("initial_facility", ("surname", "initial", "facility_id")),
@@ -28,7 +27,6 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("letter_facility_specialty", ("surname", "letter", "facility_id", "specialty_id")),
     ("head_facility", ("head", "initial", "facility_id")),
     ("tail_facility", ("tail", "initial", "facility_id")),
-    ("initial_specialty_zip", ("surname", "initial", "specialty_id", "zip")),
     ("head_given_facility", ("head", "given", "facility_id")),
     ("tail_given_facility", ("tail", "given", "facility_id")),
     ("head_given_zip", ("head", "given", "zip")),
@@ -98,7 +96,8 @@ def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]
     star = stored(star, "star")
     label = stored(nodes.filter("label is not null").select("node", F.xxhash64("label").alias("label")).distinct(), "labels")
     # An entity is labelled as a whole, so a labelled record's link to any other label or to none is wrong.
-    tested = star.join(label, "node").join(label.select(F.col("node").alias("to"), F.col("label").alias("to_label")), "to", "left")
+    marks = F.broadcast(label)  # the labelled sample is bounded, see MOST_LABELLED
+    tested = star.join(marks, "node").join(F.broadcast(label.select(F.col("node").alias("to"), F.col("label").alias("to_label"))), "to", "left")
     right = F.coalesce((F.col("label") == F.col("to_label")).cast("int"), F.lit(0))
     measured = tested.groupBy("rule").agg(((F.sum(right) + 1) / (F.count(F.lit(1)) + 2)).alias("confidence"), F.count(F.lit(1)).alias("links"))
     names = [n for n, _ in rules]
@@ -108,17 +107,19 @@ def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]
     if not trusted:
         return rows.sparkSession.createDataFrame([], "source_id_1 string, source_id_2 string, rule string, confidence double")
     conf = F.element_at(F.create_map(*[F.lit(x) for kv in trusted.items() for x in kv]), F.col("rule"))
-    links = star.filter(F.col("rule").isin(*trusted)).join(label.select("node"), "node", "left_anti").join(label.select(F.col("node").alias("to")), "to", "left_anti")
+    links = star.filter(F.col("rule").isin(*trusted)).join(marks.select("node"), "node", "left_anti").join(F.broadcast(label.select(F.col("node").alias("to"))), "to", "left_anti")
     joined = groups or group_links
+    # A record has at most one link a rule, many of them to the same record: one row for each record.
+    first = stored(links.groupBy("node").agg(F.min_by("to", "rule").alias("to"), F.min("rule").alias("rule"), F.collect_set("to").alias("all")), "first")
     # Each record's first rule gives a forest; its trees are groups. The other links matter only where they connect two.
-    first = stored(links.groupBy("node").agg(F.min_by("to", "rule").alias("to"), F.min("rule").alias("rule")), "first")
     tree = stored(follow(first), "trees")
-    crossing = (
-        links.select("node", "to").join(tree.select("node", F.col("group").alias("a")).hint("shuffle_hash"), "node").select("to", "a")
-        .join(tree.select(F.col("node").alias("to"), F.col("group").alias("b")).hint("shuffle_hash"), "to", "left").select("a", F.coalesce("b", "to").alias("b")).filter("a <> b").distinct()
-    )
+    at = tree.select(F.col("node").alias("to"), F.col("group").alias("b")).hint("shuffle_hash")
+    other = first.filter(F.size("all") > 1).select("node", F.filter("all", lambda x: x != F.col("to")).alias("all")).join(tree.select("node", F.col("group").alias("a")).hint("shuffle_hash"), "node").select("a", F.explode("all").alias("to"))
+    crossing = other.join(at, "to", "left").select("a", F.coalesce("b", "to").alias("b")).filter("a <> b").distinct()
     upper = joined(crossing).select(F.col("node").alias("group"), F.col("group").alias("top"))
-    group = tree.join(upper, "group", "left").select("node", F.coalesce("top", "group").alias("group"))
+    upper = stored(upper, "upper")
+    alone = upper.select(F.col("group").alias("node"), F.col("top").alias("group")).join(tree.select("node"), "node", "left_anti")
+    group = tree.join(upper.hint("shuffle_hash"), "group", "left").select("node", F.coalesce("top", "group").alias("group")).unionByName(alone)
     members = (
         group.join(first.select("node", "rule"), "node", "left")
         .join(nodes.filter("label is null").select("node", "source_id", "source").distinct(), "node")
