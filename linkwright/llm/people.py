@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.llm.text import blank, plain, squeezed
-from linkwright.llm.values import map_typed
-from linkwright.storage import join_checked, stored
+from linkwright.llm.values import UNMATCHED, field_values, map_fields
+from linkwright.storage import join_checked
 
 # Titles, credentials and generation marks, as single words without dots.
 TITLES = ("dr", "prof", "professor", "mr", "mrs", "ms", "doctor")
@@ -104,7 +104,7 @@ def given_names(records: DataFrame, labels: DataFrame) -> DataFrame:
     return common.join(learned, "name", "full_outer").select("name", F.coalesce("given", "name").alias("given"), F.lit(True).alias("is_given"))
 
 
-def features(records: DataFrame, givens: DataFrame, specialties: DataFrame, facilities: DataFrame, extra: tuple[str, ...] = (), as_written: bool = False, places: bool = True) -> DataFrame:
+def features(records: DataFrame, givens: DataFrame, specialties: DataFrame, facilities: DataFrame, extra: tuple[str, ...] = (), as_written: bool = False, places: bool = True, mapping: DataFrame | None = None) -> DataFrame:
     """One row per row of source_records with what tells persons apart.
 
     source_id, source, surname, given (full form; null if only an initial is
@@ -156,10 +156,9 @@ def features(records: DataFrame, givens: DataFrame, specialties: DataFrame, faci
     )
     if not places:
         return rows.drop("specialty", "facility_name")
-    spec = map_typed(records.select("specialty"), "specialty", specialties, "specialty_id", "specialty_name", "short_code")
-    fac = map_typed(records.select("facility_name"), "facility_name", facilities, "facility_id", "facility_name")
-    for field, mapping, to in (("specialty", spec, "specialty_id"), ("facility_name", fac, "facility_id")):
-        mapping = mapping.filter("ref_id <> 'UNMATCHED'").select(F.col("value").alias(field), F.col("ref_id").alias(to))
-        rows = join_checked(rows, stored(mapping, "mapping"), field)
+    mapping = map_fields(field_values(records, "specialty", "facility_name"), specialties, facilities) if mapping is None else mapping
+    for k, (field, to) in enumerate((("specialty", "specialty_id"), ("facility_name", "facility_id"))):
+        own = mapping.filter((F.col("list") == k) & (F.col("ref_id") != UNMATCHED)).select(F.col("value").alias(field), F.col("ref_id").alias(to))
+        rows = join_checked(rows, own, field)
     # A facility that is on no list still serves as a place, by its letters.
     return rows.withColumn("facility_id", F.coalesce("facility_id", F.when(~blank(F.col("facility_name")) & (F.length("facility_name") > 14), squeezed(F.col("facility_name"))))).drop("specialty", "facility_name")

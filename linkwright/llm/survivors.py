@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from linkwright.llm.people import features, given_names, name_words
 from linkwright.llm.text import blank, squeezed
-from linkwright.llm.values import UNMATCHED, map_typed
+from linkwright.llm.values import FIELDS, UNMATCHED, field_values, map_fields
 from linkwright.storage import join_checked, stored
 
 # How far each source is trusted.
@@ -105,14 +105,14 @@ def group_evidence(records: DataFrame, mapping: DataFrame, specialties: DataFram
     return rows.select("group", F.col("source_id").alias("record"), trust.cast("int").alias("trust"), F.col("as_of").alias("recency"), each.alias("e")).select("group", "record", "trust", "recency", "e.*")
 
 
-def typed_ids(values: DataFrame, field: str, refs: DataFrame, ref_id: str, name: str, code: str | None, stand_ins: tuple[str, ...]) -> DataFrame:
-    """(value, ref_id, full): the entry a value stands for; a value on no list stands for itself by its letters, stand-in text for nothing.
+def typed_ids(mapping: DataFrame, refs: DataFrame, number: int, stand_ins: tuple[str, ...]) -> DataFrame:
+    """(value, ref_id, full): the entry a value of one list stands for; a facility on no list stands for itself by its letters, stand-in text for nothing.
 
     full: the value has the entry's letters, whatever their case, or is on no list.
     """
-    found = map_typed(values, field, refs, ref_id, name, code)
+    _, ref_id, name, code = FIELDS[number]
     names = refs.select(F.col(ref_id).alias("ref_id"), squeezed(F.col(name)).alias("letters")).filter("ref_id is not null")
-    out = found.filter(~blank(F.col("value"))).join(F.broadcast(names), "ref_id", "left")  # reference lists don't grow
+    out = mapping.filter((F.col("list") == number) & ~blank(F.col("value"))).select("value", "ref_id").join(F.broadcast(names), "ref_id", "left")  # reference lists don't grow
     letters = squeezed(F.col("value"))
     own = (F.col("ref_id") == UNMATCHED) & F.lit(code is None)
     return out.select("value", F.when(own & ~letters.isin(*stand_ins) & (F.length(letters) > 14), letters).when(F.col("ref_id") != UNMATCHED, F.col("ref_id")).alias("ref_id"), F.coalesce(F.col("letters") == letters, own).alias("full")).filter("ref_id is not null")
@@ -131,10 +131,9 @@ def held_worse(held: DataFrame, records: DataFrame, mapping: DataFrame, specialt
     compared part by part, whatever case, order, accents, titles and
     credentials. Values tied for most support are all as good as the best.
     """
-    spec_values = records.select("specialty").unionByName(held.select("specialty"))
-    fac_values = records.select("facility_name").unionByName(held.select(F.col("primary_facility").alias("facility_name")))
-    spec_ids = stored(typed_ids(spec_values, "specialty", specialties, "specialty_id", "specialty_name", "short_code", STAND_INS), "spec_ids")
-    fac_ids = stored(typed_ids(fac_values, "facility_name", facilities, "facility_id", "facility_name", None, STAND_INS), "fac_ids")
+    values = records.select("specialty", "facility_name").unionByName(held.select("specialty", F.col("primary_facility").alias("facility_name")))
+    mapping_of = map_fields(field_values(values, "specialty", "facility_name"), specialties, facilities)
+    spec_ids, fac_ids = stored(typed_ids(mapping_of, specialties, 0, STAND_INS), "spec_ids"), stored(typed_ids(mapping_of, facilities, 1, STAND_INS), "fac_ids")
     evidence = stored(group_evidence(records, mapping, specialties, facilities, spec_ids, fac_ids), "evidence")
     best = stored(survivors(evidence), "survivors")
     in_full = evidence.filter("completeness = 3").select("group", "field", "value").distinct().groupBy("group", "field").agg(F.collect_set("value").alias("written"))

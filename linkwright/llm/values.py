@@ -11,7 +11,9 @@ of the entry must be covered by another word of the value.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -112,89 +114,101 @@ class WordIndex:
         return found
 
 
-def _tie_words(words: DataFrame, known: Mapping[str, int], short_forms: Mapping[str, str], ratio: float) -> DataFrame:
-    """(word, n) to (word, token, cost)."""
+def _tie_words(words: DataFrame, known: Mapping[int, Mapping[str, int]], ranks: Mapping[tuple[int, str], int], short_forms: Mapping[str, str], ratio: float) -> DataFrame:
+    """(list, word, n) to (list, word, ties): for each tie the rank of the token and the cost in one number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = WordIndex(known, short_forms)
+        index = {k: WordIndex(ws, short_forms) for k, ws in known.items()}
         for b in batches:
-            rows = [(w, v, c) for w, n in zip(b["word"], b["n"]) for v, c in index.find(w, n, ratio).items()]
+            rows = []
+            for k, w, n in zip(b["list"].tolist(), b["word"], b["n"].tolist()):
+                if k in index and (found := index[k].find(w, n, ratio)):
+                    rows.append((k, w, [ranks[k, v] * 65536 + c * 256 for v, c in found.items()]))
             if rows:
-                yield pd.DataFrame(rows, columns=["word", "token", "cost"])
-
-    return words.mapInPandas(run, "word string, token string, cost int")
-
-
-def reference_forms(refs: DataFrame, ref_id: str, name: str, code: str | None = None) -> DataFrame:
-    """(ref_id, form, tokens): the name's words, its letters run together, and its code, each a set of tokens."""
-    keep = ~blank(F.col(name)) & F.col(ref_id).isNotNull()
-    forms = [
-        refs.filter(keep).select(F.col(ref_id).alias("ref_id"), F.lit("words").alias("form"), F.array_distinct(F.filter(words_of(F.col(name)), lambda w: ~w.isin(*NOISE))).alias("tokens")),
-        refs.filter(keep).select(F.col(ref_id).alias("ref_id"), F.lit("whole").alias("form"), F.array(squeezed(F.col(name))).alias("tokens")),
-    ]
-    # A name cut after the first word that no other entry has still names its entry.
-    named = forms[0].select("ref_id", "tokens")
-    lone = named.select(F.explode("tokens").alias("word"), "ref_id").groupBy("word").agg(F.countDistinct("ref_id").alias("n")).filter("n = 1").select("word")
-    cut = named.select("ref_id", "tokens", F.posexplode("tokens").alias("at", "word")).join(lone, "word").groupBy("ref_id", "tokens").agg(F.min("at").alias("at"))
-    for start in (F.lit(1), F.col("at") + 1):
-        forms.append(cut.filter(F.size("tokens") > F.col("at") + 1).select("ref_id", F.lit("cut").alias("form"), F.slice("tokens", start, F.col("at") + 2 - start).alias("tokens")))
-    if code:
-        forms.append(refs.filter(~blank(F.col(code)) & F.col(ref_id).isNotNull()).select(F.col(ref_id).alias("ref_id"), F.lit("code").alias("form"), F.array(squeezed(F.col(code))).alias("tokens")))
-    out = forms[0]
-    for f in forms[1:]:
-        out = out.unionByName(f)
-    return out.filter((F.size("tokens") > 0) & (F.array_join("tokens", "") != "")).distinct()
-
-
-def resolve_values(values: DataFrame, forms: DataFrame, threshold: float = 0.5, ratio: float = 0.04, short_forms: Mapping[str, str] = SHORT_FORMS) -> DataFrame:
-    """values (value string, n long: rows that have it; distinct) to (value, ref_id).
-
-    forms is reference_forms(). Values without an entry come out with
-    ref_id 'UNMATCHED'; null and blank values come out too, unmatched. A tie
-    between entries (the same Jaccard and cost) is settled by the smaller
-    ref_id if the forms are one spelling, else the value is unmatched. Codes,
-    names run together and names cut short must make up all of a value. Empty
-    inputs give empty results; an empty reference list leaves all unmatched.
+                yield pd.DataFrame(rows, columns=["list", "word", "ties"])
+
+    return words.mapInPandas(run, "list int, word string, ties array<int>")
+
+
+@dataclass(frozen=True)
+class Form:
+    """One way of writing an entry of a list, as a set of tokens; a short one must make up all of a value."""
+
+    list: int
+    ref_id: str
+    tokens: tuple[str, ...]
+    short: bool
+
+
+def reference_forms(refs: DataFrame, ref_id: str, name: str, code: str | None = None, number: int = 0) -> tuple[list[Form], list[str]]:
+    """The forms of the entries of a bounded reference list, and the names as they stand.
+
+    A name's words; its letters run together; its beginning as far as the first
+    word that no other entry has, and that word alone; its code.
+    """
+    words = F.array_distinct(F.filter(words_of(F.col(name)), lambda w: ~w.isin(*NOISE)))
+    rows = refs.select(F.col(ref_id).alias("id"), F.col(name).alias("name"), words.alias("words"), squeezed(F.col(name)).alias("whole"), (squeezed(F.col(code)) if code else F.lit(None).cast("string")).alias("code"))
+    rows = rows.filter(F.col("id").isNotNull()).distinct().limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} reference entries")
+    used = Counter(w for _, ws in {(r["id"], tuple(r["words"] or ())) for r in rows} for w in ws)
+    forms: set[Form] = set()
+    for r in rows:
+        ws = tuple(r["words"] or ())
+        forms |= {Form(number, r["id"], ws, False), Form(number, r["id"], (r["whole"] or "",), True), Form(number, r["id"], (r["code"] or "",), True)}
+        at = next((i for i, w in enumerate(ws) if used[w] == 1), None)
+        if at is not None and at + 1 < len(ws):
+            forms |= {Form(number, r["id"], ws[: at + 1], True), Form(number, r["id"], (ws[at],), True)}
+    return sorted((f for f in forms if "".join(f.tokens)), key=lambda f: (f.list, f.ref_id, f.tokens, f.short)), sorted({r["name"] for r in rows if r["name"] is not None})
+
+
+def resolve_values(values: DataFrame, forms: Sequence[Form], threshold: float = 0.5, ratio: float = 0.04, short_forms: Mapping[str, str] = SHORT_FORMS) -> DataFrame:
+    """values (list int, value string, n long: rows that have it; distinct) to (list, value, ref_id).
+
+    forms are those of reference_forms() for every list. Values without an entry
+    come out with ref_id 'UNMATCHED'; null and blank values come out too,
+    unmatched. A tie between entries (the same cost) leaves the value
+    unmatched. Empty inputs give empty results; an empty reference list leaves
+    all of its values unmatched.
 
     Word frequencies are counted over all values. A word that occurs more than
     ratio times as often as the reference word it resembles is a word of its own.
     """
     spark = values.sparkSession
-    values = stored(values.select("value", "n"), "values")
+    values = stored(values.select("list", "value", "n"), "values")
     typed = values.filter(~blank(F.col("value"))).select(
-        "value", "n",
+        "list", "value", "n",
         F.array_distinct(F.filter(words_of(F.col("value")), lambda w: ~w.isin(*NOISE))).alias("words"),
         squeezed(F.col("value")).alias("whole"),
     )
     # A value gives the set of its words and, where it may be a code or words run together, the one-word set of its letters.
     one = F.filter(F.array("whole"), lambda w: (w != "") & ((F.length(w) <= 12) | (F.size("words") <= 2) | ~F.col("value").rlike(r"\S\s+\S")))
-    sets = typed.select("value", "n", F.explode(F.array_distinct(F.array("words", one))).alias("words")).filter(F.size("words") > 0)
+    sets = typed.select("list", "value", "n", F.explode(F.array_distinct(F.array("words", one))).alias("words")).filter(F.size("words") > 0)
     sets = stored(sets, "sets")  # distinct values only; used three times
-    counted = sets.select(F.explode("words").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
-    # The reference list is bounded; its words, with their frequency among the values, go to every task.
-    entries = [(r["ref_id"], r["tokens"], r["form"] != "words") for r in forms.collect()]
-    if len(entries) > MOST_ENTRIES:
-        raise ValueError(f"more than {MOST_ENTRIES} reference entries")
-    listed = spark.createDataFrame([(w,) for w in sorted({w for _, ws, _ in entries for w in ws})], "word string")
-    known = {w: 0 for _, ws, _ in entries for w in ws} | {r["word"]: r["n"] for r in counted.join(F.broadcast(listed), "word").collect()}
-    rarity = {w: i for i, w in enumerate(sorted(known, key=lambda w: (known[w], w)))}
+    counted = stored(sets.select("list", F.explode("words").alias("word"), "n").groupBy("list", "word").agg(F.sum("n").alias("n")), "words")
+    # The reference lists are bounded; their words, with their frequency among the values, go to every task.
+    listed = sorted({(f.list, w) for f in forms for w in f.tokens})
+    seen = counted.join(F.broadcast(spark.createDataFrame(listed, "list int, word string")), ["list", "word"]).collect()
+    often = dict.fromkeys(listed, 0) | {(r["list"], r["word"]): r["n"] for r in seen}
+    rarity = {w: i for i, w in enumerate(sorted(often, key=lambda w: (often[w], w)))}
+    known: dict[int, dict[str, int]] = {}
+    for (k, w), n in often.items():
+        known.setdefault(k, {})[w] = n
     # Reference side: tokens by global rarity. All tokens of an entry have to be shared in the end, so need is their
     # number, and the prefix that no set in question can miss is the rarest of them.
     need = lambda r: max(math.ceil(threshold * r), r)
     index = []
-    for ref_id, ws, cut in entries:
-        toks = sorted(rarity[w] for w in ws)
-        index += [(rank, pos, ref_id, cut, toks) for pos, rank in enumerate(toks[: len(toks) - need(len(toks)) + 1])]
-    index = spark.createDataFrame(index, "token int, r_pos int, ref_id string, cut boolean, r_toks array<int>")
-    ranks = spark.createDataFrame(list(rarity.items()), "token string, rank int")
-
-    # A tie is one number: the token's rank, the cost, and (below) where the word stands.
-    tied = _tie_words(counted, known, short_forms, ratio).join(F.broadcast(ranks), "token").groupBy("word").agg(F.collect_list(F.col("rank") * 65536 + F.col("cost") * 256).alias("to"))
-    placed = sets.select("value", F.size("words").alias("k"), F.posexplode("words").alias("at", "word")).join(tied, "word")
-    probe = placed.select("value", "k", F.explode("to").alias("t"), F.least("at", F.lit(255)).alias("at")).groupBy("value", "k").agg(F.collect_list(F.col("t") + F.col("at")).alias("l"))
+    for f in forms:
+        toks = sorted({rarity[f.list, w] for w in f.tokens})
+        index += [(rank, pos, f.ref_id, f.short, toks) for pos, rank in enumerate(toks[: len(toks) - need(len(toks)) + 1])]
+    index = spark.createDataFrame(index, "token int, r_pos int, ref_id string, short boolean, r_toks array<int>")
+
+    tied = _tie_words(counted, known, rarity, short_forms, ratio)
+    placed = sets.select("list", "value", F.size("words").alias("k"), F.posexplode("words").alias("at", "word")).join(tied, ["list", "word"])
+    probe = placed.select("list", "value", "k", F.explode("ties").alias("t"), F.least("at", F.lit(255)).alias("at")).groupBy("list", "value", "k").agg(F.collect_list(F.col("t") + F.col("at")).alias("l"))
     # A typed word may be tied to several tokens, so the value's side has no one order: all of it probes the entries' prefixes.
     met = (
-        probe.select("value", "k", "l", F.explode(F.array_distinct(F.transform("l", lambda t: F.shiftright(t, 16)))).alias("token"))
+        probe.select("list", "value", "k", "l", F.explode(F.array_distinct(F.transform("l", lambda t: F.shiftright(t, 16)))).alias("token"))
         .join(F.broadcast(index), "token")
         .filter((F.size("r_toks") >= F.ceil(F.lit(threshold) * F.col("k"))) & (F.col("k") >= F.ceil(F.lit(threshold) * F.size("r_toks"))))  # length filter
         .filter((F.col("k") >= F.size("r_toks")) & (F.size("l") >= F.size("r_toks") - F.col("r_pos")))  # positional filter: enough tied words are left
@@ -203,33 +217,51 @@ def resolve_values(values: DataFrame, forms: DataFrame, threshold: float = 0.5,
     # one keeps what follows from being computed again in every filter.
     best = F.transform("r_toks", lambda r: F.array_min(F.filter("l", lambda t: F.shiftright(t, 16) == r)))
     checked = (
-        met.select("value", "k", "ref_id", "cut", F.size("r_toks").alias("r"), F.explode(F.array(best)).alias("hit"))
+        met.select("list", "value", "k", "ref_id", "short", F.size("r_toks").alias("r"), F.explode(F.array(best)).alias("hit"))
         .filter(~F.exists("hit", lambda h: h.isNull()))
         .withColumn("m", F.size(F.array_distinct(F.transform("hit", lambda h: h.bitwiseAND(255)))))
         .withColumn("jaccard", F.col("m") / (F.col("k") + F.col("r") - F.col("m")))
-        .filter((F.col("jaccard") >= threshold) & (F.col("m") == F.col("r")) & (~F.col("cut") | (F.col("m") == F.col("k"))))
+        .filter((F.col("jaccard") >= threshold) & (F.col("m") == F.col("r")) & (~F.col("short") | (F.col("m") == F.col("k"))))
         .withColumn("cost", F.aggregate("hit", F.lit(0), lambda a, h: a + F.shiftright(h, 8).bitwiseAND(255).cast("int")))
-        .groupBy("value", "ref_id").agg(F.min(F.struct(F.col("cost") + 2 * (F.col("k") - F.col("m")), "cost")).alias("s"))
-        .groupBy("value").agg(F.min(F.struct(F.col("s"), F.col("ref_id"))).alias("one"), F.sort_array(F.collect_list("s")).alias("all"))
-        .select("value", F.when((F.size("all") > 1) & (F.col("all")[0] == F.col("all")[1]), F.lit(UNMATCHED)).otherwise(F.col("one.ref_id")).alias("ref_id"))
+        .groupBy("list", "value", "ref_id").agg(F.min(F.struct(F.col("cost") + 2 * (F.col("k") - F.col("m")), "cost")).alias("s"))
+        .groupBy("list", "value").agg(F.min(F.struct(F.col("s"), F.col("ref_id"))).alias("one"), F.sort_array(F.collect_list("s")).alias("all"))
+        .select("list", "value", F.when((F.size("all") > 1) & (F.col("all")[0] == F.col("all")[1]), F.lit(UNMATCHED)).otherwise(F.col("one.ref_id")).alias("ref_id"))
     )
-    return values.select("value").join(checked, "value", "left").select("value", F.coalesce("ref_id", F.lit(UNMATCHED)).alias("ref_id"))
+    return values.select("list", "value").join(checked, ["list", "value"], "left").select("list", "value", F.coalesce("ref_id", F.lit(UNMATCHED)).alias("ref_id"))
+
+
+#: The fields that are mapped, by list number: column, reference id, name and code.
+FIELDS = (("specialty", "specialty_id", "specialty_name", "short_code"), ("facility_name", "facility_id", "facility_name", None))
 
 
-def map_typed(records: DataFrame, field: str, refs: DataFrame, ref_id: str, name: str, code: str | None = None, count: str | None = None) -> DataFrame:
+def field_values(rows: DataFrame, *columns: str) -> DataFrame:
+    """(list, value, n): how often each of the columns, numbered from 0, has each value, in one pass."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("list"), F.col(c).alias("value")) for i, c in enumerate(columns))))
+    return rows.select(each.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).select("v.list", "v.value", "n")
+
+
+def map_typed(records: DataFrame, field: str, refs: DataFrame, ref_id: str, name: str, code: str | None = None) -> DataFrame:
     """(value, ref_id) of every distinct value of a column, exact entries included."""
-    values = records.groupBy(F.col(field).alias("value")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("n"))
-    return resolve_values(values, reference_forms(refs, ref_id, name, code))
+    return resolve_values(field_values(records, field), reference_forms(refs, ref_id, name, code)[0]).select("value", "ref_id")
+
+
+def map_fields(counts: DataFrame, specialties: DataFrame, facilities: DataFrame) -> DataFrame:
+    """(list, value, ref_id, exact) of all values of specialty (list 0) and facility_name (1); exact: letter for letter an entry's name. Written once."""
+    forms, names = [], []
+    for k, (refs, (_, ref_id, name, code)) in enumerate(zip((specialties, facilities), FIELDS)):
+        own, written = reference_forms(refs, ref_id, name, code, k)
+        forms += own
+        names += [(k, n, True) for n in written]
+    listed = counts.sparkSession.createDataFrame(names, "list int, value string, exact boolean")
+    out = resolve_values(counts, forms).join(F.broadcast(listed), ["list", "value"], "left")
+    return stored(out.withColumn("exact", F.coalesce("exact", F.lit(False))), "mapping")
 
 
 def mapped_values(records: DataFrame, specialties: DataFrame, facilities: DataFrame) -> DataFrame:
-    """Rows and fields of source_records whose value isn't an entry as it stands: (record_id, field, ref_id)."""
-    rows = []
-    for field, refs, ref_id, name, code in (("specialty", specialties, "specialty_id", "specialty_name", "short_code"), ("facility_name", facilities, "facility_id", "facility_name", None)):
-        refs = refs.select(*(F.col(c) for c in (ref_id, name, code) if c))
-        odd = records.select("record_id", F.col(field).alias("value")).filter(~blank(F.col("value")))
-        # The reference list is bounded; the join drops entries written letter for letter.
-        odd = odd.join(F.broadcast(refs.select(F.col(name).alias("value")).filter(F.col("value").isNotNull()).distinct()), "value", "left_anti")
-        mapping = map_typed(records.select(field), field, refs, ref_id, name, code)
-        rows.append(join_checked(odd, stored(mapping, "mapping"), "value", "inner").select("record_id", F.lit(field).alias("field"), "ref_id"))
-    return rows[0].unionByName(rows[1])
+    """Rows and fields of source_records whose value is there and isn't an entry as it stands: (record_id, field, ref_id)."""
+    columns = [f[0] for f in FIELDS]
+    mapping = map_fields(field_values(records, *columns), specialties, facilities).filter(~F.col("exact"))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("list"), F.col(c).alias("value")) for i, c in enumerate(columns))))
+    rows = records.select("record_id", each.alias("v")).select("record_id", "v.list", "v.value").filter(~blank(F.col("value")))
+    names = F.element_at(F.array(*map(F.lit, columns)), F.col("list") + 1)
+    return join_checked(rows, mapping, ["list", "value"], "inner").select("record_id", names.alias("field"), "ref_id")
