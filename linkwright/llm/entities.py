@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkwright.llm.groups import follow, group_links
 from linkwright.llm.people import features, given_names
-from linkwright.storage import stored
+from linkwright.storage import join_checked, stored
 
 #: Attribute combinations from strong to weak. npi9: the npi but for its first digit, the one most often wrong; head and
 #: tail: the first four and the last four or five letters of the surname, one of which outlives a slip; letter: initial or middle, for those
@@ -138,10 +138,10 @@ def person_rows(records: DataFrame, mapping: DataFrame, specialties: DataFrame,
 
     Settled records beyond a sample of about MOST_LABELLED, whole entities by a hash, are left out.
     """
-    labels = mapping.filter(F.col("source_id").isNotNull() & F.col("canonical_id").isNotNull()).groupBy("source_id").agg(F.min("canonical_id").alias("label"))
+    labels = stored(mapping.filter(F.col("source_id").isNotNull() & F.col("canonical_id").isNotNull()).groupBy("source_id").agg(F.min("canonical_id").alias("label")), "labels")
     share = labels.agg(F.least(F.lit(1.0), F.lit(MOST_LABELLED) / F.greatest(F.count(F.lit(1)), F.lit(1)))).first()[0]
     rows = features(records.filter(F.col("source_id").isNotNull()), given_names(records, labels), specialties, facilities, extra)
-    rows = rows.join(labels.hint("shuffle_hash"), "source_id", "left").filter(F.col("label").isNull() | (F.pmod(F.xxhash64("label"), F.lit(1_000_000)) < share * 1_000_000))
+    rows = join_checked(rows, labels, "source_id").filter(F.col("label").isNull() | (F.pmod(F.xxhash64("label"), F.lit(1_000_000)) < share * 1_000_000))
     return rows.withColumns({
         "npi9": F.substring("npi", 2, 9),  # the first digit is the one most often mistyped
         "head": F.when(F.length("surname") >= 5, F.substring("surname", 1, 4)), "tail": F.when(F.length("surname") >= 5, F.substring("surname", F.length("surname") - F.when(F.length("surname") >= 8, 4).otherwise(3), F.lit(5))),

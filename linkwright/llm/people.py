@@ -86,13 +86,14 @@ def given_names(records: DataFrame, labels: DataFrame) -> DataFrame:
     A word is a given name if it is the first name of a fair share of all rows
     and seldom a last name. What it is short for is learned from the labelled
     groups (source_id, label): the given name that most of the groups with the
-    short form use most. At most 2 / LEAST_SHARE rows, so fit to be broadcast.
+    short form use most; labels is a stored table. At most 2 / LEAST_SHARE rows, so fit to be broadcast.
     """
     one = lambda c: F.array_join(name_words(F.col(c)), "")
     total = F.broadcast(records.agg(F.greatest(F.lit(3.0), F.count(F.lit(1)) / 3000).alias("least")))
     used = records.select(F.explode(F.array(F.struct(one("name_first").alias("name"), F.lit(1).alias("f"), F.lit(0).alias("l")), F.struct(one("name_last").alias("name"), F.lit(0).alias("f"), F.lit(1).alias("l")))).alias("u")).select("u.*")
     common = used.filter(F.length("name") >= 2).groupBy("name").agg(F.sum("f").alias("f"), F.sum("l").alias("l")).crossJoin(total).filter((F.col("f") >= F.col("least")) & (F.col("f") >= 4 * F.col("l"))).select("name")
-    known = records.select("source_id", one("name_first").alias("name")).filter(F.length("name") >= 2).join(labels.hint("shuffle_hash"), "source_id").groupBy("label", "name").agg(F.count(F.lit(1)).alias("n"))
+    firsts = records.select("source_id", one("name_first").alias("name")).filter(F.length("name") >= 2)
+    known = join_checked(firsts, labels, "source_id", "inner").groupBy("label", "name").agg(F.count(F.lit(1)).alias("n"))
     full = known.groupBy("label").agg(F.max(F.struct("n", F.length("name"), "name")).alias("m"), F.collect_list("name").alias("names")).filter(F.size("names") > 1)
     pairs = full.select(F.col("m.name").alias("given"), F.explode("names").alias("name")).groupBy("name", "given").agg(F.count(F.lit(1)).alias("n"))
     learned = (

@@ -86,9 +86,9 @@ def survivors(evidence: DataFrame) -> DataFrame:
 
 def group_evidence(records: DataFrame, mapping: DataFrame, specialties: DataFrame, facilities: DataFrame, spec_ids: DataFrame, fac_ids: DataFrame) -> DataFrame:
     """What the records of each group say: rows for survivors(), for surname, given, middle, specialty and facility."""
-    pairs = mapping.select("source_id", F.col("canonical_id").alias("group")).filter("source_id is not null and group is not null").distinct()
-    said = records.join(pairs.hint("shuffle_hash"), "source_id")
-    labels = pairs.groupBy("source_id").agg(F.min("group").alias("label"))
+    pairs = stored(mapping.select("source_id", F.col("canonical_id").alias("group")).filter("source_id is not null and group is not null").distinct(), "pairs")
+    said = join_checked(records, pairs, "source_id", "inner")
+    labels = stored(pairs.groupBy("source_id").agg(F.min("group").alias("label")), "labels")
     rows = features(said, given_names(said, labels), specialties, facilities, ("group", "as_of", F.col("specialty").alias("spec"), F.col("facility_name").alias("fac")), True, False)
     rows = join_checked(rows, spec_ids.select(F.col("value").alias("spec"), F.col("ref_id").alias("spec_id"), F.col("full").alias("spec_full")), "spec")
     rows = join_checked(rows, fac_ids.select(F.col("value").alias("fac"), F.col("ref_id").alias("fac_id"), F.col("full").alias("fac_full")), "fac")
@@ -102,7 +102,7 @@ def group_evidence(records: DataFrame, mapping: DataFrame, specialties: DataFram
         ("primary_facility", F.col("fac_id"), F.col("fac"), F.when(F.col("fac_full"), 3).otherwise(1)),
     ]
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value"), form.alias("form"), c.cast("int").alias("completeness")) for f, v, form, c in said_of)))
-    return rows.select("group", F.col("source_id").alias("record"), trust.cast("int").alias("trust"), F.col("as_of").alias("recency"), each.alias("e")).select("group", "record", "trust", "recency", "e.*")
+    return rows.select("group", F.xxhash64("source_id").alias("record"), trust.cast("int").alias("trust"), F.col("as_of").alias("recency"), each.alias("e")).select("group", "record", "trust", "recency", "e.*")
 
 
 def typed_ids(mapping: DataFrame, refs: DataFrame, number: int, stand_ins: tuple[str, ...]) -> DataFrame:
