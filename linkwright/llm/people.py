@@ -123,10 +123,12 @@ def features(records: DataFrame, givens: DataFrame, specialties: DataFrame, faci
         F.when(~F.coalesce(F.col("name_last").contains(","), F.lit(False)), surname_of(F.col("name_last"))).alias("l"),
         *([F.when(~F.coalesce(F.col("name_last").contains(","), F.lit(False)), F.array_join(name_words(F.col("name_last")), "")).alias("l_raw")] if as_written else []),
         F.array_join(name_words(F.col("name_middle")), "").alias("mi"),
-        F.coalesce(F.col("name_raw").rlike("[,;]"), F.lit(False)).alias("last_first"),
-        name_words(F.get(F.split(F.regexp_replace(F.col("name_raw"), r"(?i)[,;_ ]+(m\.?d|d\.?o|mbbs|ph\.?d|facs)\.?\b", ""), "[,;]"), F.lit(0))).alias("a"),
-        name_words(F.get(F.split(F.regexp_replace(F.col("name_raw"), r"(?i)[,;_ ]+(m\.?d|d\.?o|mbbs|ph\.?d|facs)\.?\b", ""), "[,;]"), F.lit(1))).alias("b"),
+        "name_raw",
     )
+    # The raw name is taken apart only where the parsed columns leave something out.
+    lacks = ~F.coalesce((F.length("f") > 0) & (F.length("l") > 0) & (F.length("mi") > 0), F.lit(False))
+    bare = F.split(F.regexp_replace(F.when(lacks, F.col("name_raw")), r"(?i)[,;_ ]+(m\.?d|d\.?o|mbbs|ph\.?d|facs)\.?\b", ""), "[,;]")
+    rows = rows.withColumn("bare", bare).drop("name_raw").withColumns({"a": name_words(F.get("bare", F.lit(0))), "b": name_words(F.get("bare", F.lit(1)))}).drop("bare")
     known = lambda on, to: givens.select(F.col("name").alias(on), F.col("given").alias(to))
     head = F.coalesce(F.get("b", F.lit(0)), F.lit(""))
     two = F.coalesce(F.size("b") > 0, F.lit(False))

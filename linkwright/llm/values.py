@@ -127,7 +127,8 @@ def _tie_words(words: DataFrame, known: Mapping[int, Mapping[str, int]], ranks:
             if rows:
                 yield pd.DataFrame(rows, columns=["list", "word", "ties"])
 
-    return words.mapInPandas(run, "list int, word string, ties array<int>")
+    # The words are few bytes and much work: all cores take part, whatever the size.
+    return words.repartition(words.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "list int, word string, ties array<int>")
 
 
 @dataclass(frozen=True)
