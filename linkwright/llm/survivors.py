@@ -102,7 +102,7 @@ def group_evidence(records: DataFrame, mapping: DataFrame, specialties: DataFram
         ("primary_facility", F.col("fac_id"), F.col("fac"), F.when(F.col("fac_full"), 3).otherwise(1)),
     ]
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value"), form.alias("form"), c.cast("int").alias("completeness")) for f, v, form, c in said_of)))
-    return rows.select("group", F.xxhash64("source_id").alias("record"), trust.cast("int").alias("trust"), F.col("as_of").alias("recency"), each.alias("e")).select("group", "record", "trust", "recency", "e.*")
+    return rows.select("group", F.xxhash64("source_id").alias("record"), trust.cast("int").alias("trust"), F.col("as_of").alias("recency"), each.alias("e")).select("group", "record", "trust", "recency", "e.*").filter("value is not null")
 
 
 def typed_ids(mapping: DataFrame, refs: DataFrame, number: int, stand_ins: tuple[str, ...]) -> DataFrame:
