@@ -52,11 +52,6 @@ def valid_npi(c: Column) -> Column:
     return F.when(digits.rlike("^[0-9]{10}$") & ~digits.rlike(r"^([0-9])\1{9}$") & ~digits.isin("1234567890", "0123456789", "9876543210"), digits)
 
 
-def known_states(zips: DataFrame) -> dict[str, str]:
-    """Valid state codes of zip_centroids (at most a few dozen) by their code."""
-    return {r["state"]: r["state"] for r in zips.select("state").distinct().filter("state is not null").limit(1000).collect()}
-
-
 # Names of the states by their postal codes.
 STATE_NAMES = {
     "alabama": "AL", "alaska": "AK", "arizona": "AZ", "arkansas": "AR", "california": "CA", "colorado": "CO", "connecticut": "CT", "delaware": "DE", "florida": "FL", "georgia": "GA",
