@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,9 +26,13 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage, survives the loss of executors.
 
-    The files stay until release() or until the folder is cleared.
+    Results may be read from the files until the driver ends, so they stay as
+    long; then those on a mounted folder are removed. Elsewhere release() or
+    the folder's own upkeep clears them.
     """
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    if path.startswith(("file:/", "/")):
+        atexit.register(shutil.rmtree, "/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
