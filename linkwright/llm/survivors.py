@@ -69,9 +69,10 @@ def survivors(evidence: DataFrame) -> DataFrame:
     it is written), completeness (0 to 3), trust (0 to 3), recency. Agreement is
     the rank of the value's number of records within group and field. Repeated
     rows of a record count once. The first undominated value is taken in the
-    order of the policy: agreement, completeness, trust, recency, then the
-    smaller form. Where the first layer has none (nulls don't compete), the next
-    layer fills in. Groups without any value for a field have no row for it.
+    order of the policy: agreement, completeness, recency, trust, then the
+    smaller form. Each field is ranked by itself and nulls are no candidates, so
+    the first layer of a field with any value is never empty and later layers
+    have nothing to fill. Groups without any value for a field have no row for it.
     """
     seen = evidence.filter(F.col("group").isNotNull() & F.col("value").isNotNull())
     # Copies are merged before rows are ranked: what is left are ways of writing, not records.
@@ -79,7 +80,7 @@ def survivors(evidence: DataFrame) -> DataFrame:
     support = forms.groupBy("group", "field", "value").agg(F.sum("n").alias("n")).withColumn("rank", F.dense_rank().over(Window.partitionBy("group", "field").orderBy(F.desc("n"))))
     ties = support.filter("rank = 1").groupBy("group", "field").agg(F.sort_array(F.collect_list("value")).alias("ties"), F.max("n").alias("votes"))
     ranked = forms.join(support.select("group", "field", "value", F.greatest(F.lit(LEVELS) - F.col("rank"), F.lit(0)).cast("int").alias("agreement")), ["group", "field", "value"])
-    best = F.min(F.struct("layer", (-F.col("agreement")).alias("a"), (-F.col("completeness")).alias("c"), (-F.col("trust")).alias("t"), (-F.unix_micros(F.col("recency").cast("timestamp"))).alias("r"), "form", "value"))
+    best = F.min(F.struct("layer", (-F.col("agreement")).alias("a"), (-F.col("completeness")).alias("c"), (-F.coalesce(F.unix_micros(F.col("recency").cast("timestamp")), F.lit(-(2**62)))).alias("r"), (-F.col("trust")).alias("t"), "form", "value"))
     chosen = layers(ranked).groupBy("group", "field").agg(best.alias("b")).select("group", "field", F.col("b.value").alias("value"), F.col("b.form").alias("form"))
     return chosen.join(ties, ["group", "field"])
 
@@ -126,10 +127,10 @@ def held_worse(held: DataFrame, records: DataFrame, mapping: DataFrame, specialt
     """(canonical_id, field): the held values that the survivors of their groups better.
 
     held: canonical_physicians. A held value is worse if it is null, blank or
-    stands for nothing while the group has one; if another value has more
-    support; or if it is not written in full while a record does so. Names are
-    compared part by part, whatever case, order, accents, titles and
-    credentials. Values tied for most support are all as good as the best.
+    stands for nothing while the group has one; if it is not the survivor of
+    survivors(); or if it is not written in full while a record does so. Names
+    are compared part by part, whatever case, order, accents, titles and
+    credentials. Among values tied for most support the survivor alone is good.
     """
     values = records.select("specialty", "facility_name").unionByName(held.select("specialty", F.col("primary_facility").alias("facility_name")))
     mapping_of = map_fields(field_values(values, "specialty", "facility_name"), specialties, facilities)
@@ -143,19 +144,19 @@ def held_worse(held: DataFrame, records: DataFrame, mapping: DataFrame, specialt
     found = []
     for field, ids in (("specialty", spec_ids), ("primary_facility", fac_ids)):
         mine = rows.select("id", F.col(field).alias("value")).join(ids.select("value", "ref_id", "full").hint("shuffle_hash"), "value", "left")
-        b = best.filter(F.col("field") == field).select(F.col("group").alias("id"), "ties", "written")
-        worse = F.col("ref_id").isNull() | ~F.array_contains("ties", F.col("ref_id")) | (~F.col("full") & F.coalesce(F.array_contains("written", F.col("ref_id")), F.lit(False)))
+        b = best.filter(F.col("field") == field).select(F.col("group").alias("id"), F.col("value").alias("survivor"), "written")
+        worse = F.col("ref_id").isNull() | (F.col("ref_id") != F.col("survivor")) | (~F.col("full") & F.coalesce(F.array_contains("written", F.col("ref_id")), F.lit(False)))
         found.append(mine.join(b, "id").filter(worse).select("id", F.lit(field).alias("field")))
-    parts = best.filter(F.col("field").isin("surname", "given", "middle")).groupBy("group").pivot("field", ["surname", "given", "middle"]).agg(F.first(F.struct("value", "form", "ties", "votes")))
+    parts = best.filter(F.col("field").isin("surname", "given", "middle")).groupBy("group").pivot("field", ["surname", "given", "middle"]).agg(F.first(F.struct("value", "form", "votes")))
     words = name_words(F.col("name"))
     whole = F.array_join("words", "")
     named = rows.select("id", F.coalesce(words, F.array().cast("array<string>")).alias("words")).join(parts.withColumnRenamed("group", "id"), "id")
     count = lambda w: F.size(F.filter("words", lambda x: x == w))
     twice = F.when(F.coalesce(F.col("given.form") == F.col("middle.form"), F.lit(False)), 2).otherwise(1)
     lacks = (
-        (F.col("surname").isNotNull() & ~F.exists("surname.ties", lambda s: F.contains(whole, s)))
-        | (F.col("given").isNotNull() & (count(F.col("given.form")) < 1) & ~F.exists("given.ties", lambda g: F.exists("words", lambda w: F.startswith(w, g))))
-        | (F.col("middle").isNotNull() & ~F.exists("middle.ties", lambda m: count(m) >= twice) & ~((F.col("middle.votes") == 1) & (twice == 1) & F.exists("words", lambda w: (F.length(w) > 2) & (F.levenshtein(w, F.col("middle.value"), 2) >= 0))))
+        (F.col("surname").isNotNull() & ~F.contains(whole, F.col("surname.value")))
+        | (F.col("given").isNotNull() & (count(F.col("given.form")) < 1) & ~F.exists("words", lambda w: F.startswith(w, F.col("given.value"))))
+        | (F.col("middle").isNotNull() & (count(F.col("middle.value")) < twice) & ~((F.col("middle.votes") == 1) & (twice == 1) & F.exists("words", lambda w: (F.length(w) > 2) & (F.levenshtein(w, F.col("middle.value"), 2) >= 0))))
     )
     found.append(named.filter(F.coalesce(lacks, F.lit(False)) | ((F.size("words") == 0) & F.coalesce(F.col("surname"), F.col("given")).isNotNull())).select("id", F.lit("name").alias("field")))
     return found[0].unionByName(found[1]).unionByName(found[2]).select(F.col("id").alias("canonical_id"), "field").distinct()

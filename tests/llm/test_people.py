@@ -127,3 +127,14 @@ def test_held(spark):
     held = spark.createDataFrame([("P1", "KRABLO, ALBERT BORIS, MD", "hand surgery", "CLINIC A OF THE NORTH", "x"), ("P2", "Krablo, Al", "HND", "tbd", "x"), ("P3", "Deborah Vintes", None, None, "x"), ("P4", None, None, None, "x"), (None, "x", "y", "z", "x")], "id string, name string, specialty string, primary_facility string, field string")
     assert sorted(tuple(r) for r in held_worse(held, records, mapping, spec, fac).collect()) == [("P2", "name"), ("P2", "primary_facility"), ("P2", "specialty")]
     assert held_worse(held.limit(0), records, mapping, spec, fac).count() == 0
+
+
+def test_survivor_decides_ties(spark):
+    from datetime import datetime
+
+    spec, fac = refs(spark)
+    rec = lambda i, src, fa, year: (i, src, f"s{i}", None, "Albert Krablo", "Albert", "Krablo", None, "Hand Surgery", fa, None, None, datetime(year, 1, 1), None)
+    records = spark.createDataFrame([rec(1, "cms", "Clinic A of the North", 2020), rec(2, "hospital", "Clinic B of the North", 2024)], RECORD)
+    mapping = spark.createDataFrame([(s, p) for s in ("s1", "s2") for p in ("P1", "P2")], "source_id string, canonical_id string")
+    held = spark.createDataFrame([("P1", "Albert Krablo", "Hand Surgery", "Clinic A of the North"), ("P2", "Albert Krablo", "Hand Surgery", "Clinic B of the North")], "id string, name string, specialty string, primary_facility string")
+    assert [tuple(r) for r in held_worse(held, records, mapping, spec, fac).collect()] == [("P1", "primary_facility")]
