@@ -56,23 +56,29 @@ def candidate_pairs(records: DataFrame, sound: bool = True, initial: bool = Fals
 
     records has one row for each source_id. Pairs of one source are kept. One
     self-join serves all strategies; a pair is kept where its first shared
-    strategy meets, so no second pass is needed to drop repeats. hot_block: in
-    blocks with more records pairs must agree in one more attribute (the npi
-    block in the last name, the others in the first initial or the npi), which
-    bounds the work on placeholders and very common names; None: no such limit.
+    strategy meets, so no second pass is needed to drop repeats. hot_block: a
+    block with more records is cut by a hash into pieces of about so many, and
+    each two pieces meet under a key of their own, so that its pairs, all of
+    them, are spread over tasks; None: every block meets under one key. The
+    pairs are the same.
     """
     use = ["npi", "last_state", *(["sound_state"] if sound else []), *(["last_initial"] if initial else [])]
     keys = F.array(*(F.struct(F.lit(i).alias("s"), KEYS[k]().alias("block")) for i, k in enumerate(use)))
-    keyed = records.select("source_id", keys.alias("keys"), _last().alias("last"), F.upper(F.substring("name_first", 1, 1)).alias("init"), npi_key().alias("npi"))
-    rows = keyed.select("source_id", F.col("keys.block").alias("own"), "last", "init", "npi", F.explode(F.filter("keys", lambda k: k["block"].isNotNull())).alias("k")).select("source_id", "own", "last", "init", "npi", "k.s", "k.block")
+    rows = records.select("source_id", keys.alias("keys")).select("source_id", F.col("keys.block").alias("own"), F.explode(F.filter("keys", lambda k: k["block"].isNotNull())).alias("k")).select("source_id", "own", "k.s", "k.block")
+    on = ["s", "block"]
+    apart = F.lit(True)
     if hot_block is not None:
-        n = F.count(F.lit(1)).over(Window.partitionBy("s", "block"))
-        finer = F.when(F.col("s") == 0, F.coalesce("last", F.lit(""))).otherwise(F.coalesce("init", F.lit("")))
-        rows = rows.withColumn("block", F.when(n > hot_block, F.concat_ws("\x00", "block", finer)).otherwise(F.col("block")))
+        pieces = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("s", "block")) / hot_block).cast("int")
+        rows = rows.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("source_id"), F.col("pieces")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+        rows = rows.withColumn("other", other).select("source_id", "own", "s", "block", "piece", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"))
+        on = [*on, "low", "high"]
+        # Records of one piece share the keys with all other pieces, too, but meet under their own only.
+        apart = (F.col("a.piece") != F.col("b.piece")) | (F.col("a.low") == F.col("a.high"))
     a, b = rows.alias("a"), rows.alias("b")
-    on = (F.col("a.s") == F.col("b.s")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.source_id") < F.col("b.source_id"))
-    met = a.join(b, on)
-    if hot_block is None:
-        earlier = F.exists(F.arrays_zip(F.slice(F.col("a.own"), F.lit(1), F.col("a.s")).alias("x"), F.slice(F.col("b.own"), F.lit(1), F.col("a.s")).alias("y")), lambda z: z["x"] == z["y"])
-        return met.filter(~F.coalesce(earlier, F.lit(False))).select(F.col("a.source_id").alias("source_id_1"), F.col("b.source_id").alias("source_id_2"))
-    return met.select(F.col("a.source_id").alias("source_id_1"), F.col("b.source_id").alias("source_id_2")).distinct()
+    same = F.lit(True)
+    for c in on:
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    earlier = F.exists(F.arrays_zip(F.slice(F.col("a.own"), F.lit(1), F.col("a.s")).alias("x"), F.slice(F.col("b.own"), F.lit(1), F.col("a.s")).alias("y")), lambda z: z["x"] == z["y"])
+    met = a.join(b, same & apart & (F.col("a.source_id") < F.col("b.source_id")))
+    return met.filter(~F.coalesce(earlier, F.lit(False))).select(F.col("a.source_id").alias("source_id_1"), F.col("b.source_id").alias("source_id_2"))

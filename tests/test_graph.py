@@ -74,6 +74,14 @@ def test_pairs(spark, five):
     assert blocking.candidate_pairs(five.limit(0)).count() == 0
 
 
+def test_hot_blocks_keep_all_pairs(spark, five):
+    rows = [("1234567890", f"A{i}", f"Name{i % 7}", "MA") if i % 3 else (None, None if i % 2 else "B", "Smith", "MA") for i in range(60)]
+    df = spark.createDataFrame([(f"s{i:02d}", *r) for i, r in enumerate(rows)], "source_id string, npi string, name_first string, name_last string, facility_state string")
+    every = sorted(tuple(p) for p in blocking.candidate_pairs(df).collect())
+    assert sorted(tuple(p) for p in blocking.candidate_pairs(df, hot_block=4).collect()) == every and len(set(every)) == len(every)
+    assert {(f"s{a:02d}", f"s{b:02d}") for a in range(60) for b in range(a + 1, 60) if bool(a % 3) == bool(b % 3)} <= set(every)
+
+
 def test_soundex(spark):
     df = spark.createDataFrame([("Smith",), ("Smyth",), ("O'Brien",), ("Ashcraft",), ("Tymczak",)], "n string")
     assert [r[0] for r in df.select(F.soundex("n")).collect()] == ["S530", "S530", "O165", "A261", "T522"]
