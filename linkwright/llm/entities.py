@@ -58,6 +58,45 @@ def keyed(nodes: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]) -> Dat
     )
 
 
+def links_of(keys: DataFrame, loose: Sequence[int]) -> DataFrame:
+    """(node, to, rule): each row of keyed() linked to a smaller node under its key; rule is 3 * rule + 0, 1 or 2.
+
+    A key under which npi9, known given name or (rules in loose: neither of the
+    two) middle initial disagree is divided into parts by those that do. 0: the
+    key is whole. 1: both ends have the part's values themselves. 2: an end lacks
+    some and goes where most records are that agree with it in the others.
+    """
+    key = Window.partitionBy("key")
+    over = lambda *c: Window.partitionBy("key", *c)
+    exempt = F.col("rule").isin(*loose)
+    rows = keys.withColumns({"known": F.when(~exempt, F.col("known")), "middle": F.when(~exempt, F.col("middle"))})
+    differ = lambda c: F.coalesce(F.min(c).over(key) != F.max(c).over(key), F.lit(False))
+    rows = rows.withColumns({"several": F.min("node").over(key) != F.max("node").over(key), **{f"{c}_differs": differ(c) for c in ("npi9", "known", "middle")}}).filter("several")
+    clash = F.col("npi9_differs") | F.col("known_differs") | F.col("middle_differs")
+    # What agrees tells no parts apart.
+    rows = rows.select("node", "rule", "key", clash.alias("clash"), *(F.when(F.col(f"{c}_differs"), F.col(c)).alias(c) for c in ("npi9", "known", "middle")), *(f"{c}_differs" for c in ("npi9", "known", "middle")))
+    own = ~clash_lacks()
+    rows = rows.withColumn("own", own)
+    mode = lambda c, *by: F.mode(c, True).over(over(*by))
+    rows = rows.withColumn("npi9", F.coalesce("npi9", mode("npi9", "known", "middle"), mode("npi9")))
+    rows = rows.withColumn("known", F.coalesce("known", mode("known", "npi9")))
+    rows = rows.withColumn("middle", F.coalesce("middle", mode("middle", "npi9", "known")))
+    part = over("npi9", "known", "middle")
+    rows = rows.withColumns({"first": F.min("node").over(part), "first_own": F.min(F.when(F.col("own"), F.col("node"))).over(part)})
+    inner = F.col("own") & (F.col("node") != F.col("first_own"))
+    kind = F.when(~F.col("clash"), 0).when(inner, 1).otherwise(2)
+    # All links lead to a smaller node: the first with values of its own leads on to the first of all.
+    return rows.select("node", F.when(inner, F.col("first_own")).otherwise(F.col("first")).alias("to"), (F.col("rule") * 3 + kind).cast("tinyint").alias("rule")).filter("node <> to")
+
+
+def clash_lacks() -> Column:
+    """Whether a row has no value of its own where its key's values disagree."""
+    lacks = F.lit(False)
+    for c in ("npi9", "known", "middle"):
+        lacks = lacks | (F.col(f"{c}_differs") & F.col(c).isNull())
+    return lacks
+
+
 def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]] = RULES, floor: float = FLOOR, groups: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pairs of records of different sources that are one entity, each with a confidence.
 
@@ -73,9 +112,11 @@ def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]
     All passes are made in one shuffle: which record stands for a key doesn't
     depend on the pass, so the anti-join comes down to taking each record's
     first rule that meets another record. Groups that a later rule connects are
-    joined too. Keys under which full given names or middle initials disagree
-    are not used. A rule's confidence is its precision on the labelled records,
-    smoothed with one right and one wrong link; rules under floor are left out.
+    joined too. Keys under which npis, full given names or middle initials
+    disagree are divided by them, see links_of(). A rule's confidence is its
+    precision on the labelled records, smoothed with one right and one wrong
+    link, taken apart for whole keys, for parts and for what is attached to a
+    part; rules under floor are left out.
 
     Nulls: a rule needs all of its attributes. Repeated rows count once. Records
     that share nothing are in no pair. Work grows with records times rules: a
@@ -84,15 +125,7 @@ def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]
     """
     needed = dict.fromkeys(["source_id", "source", "label", "known_given", "middle", "initial", "npi9", *(x for _, a in rules for x in a if x != "letter")])
     nodes = stored(rows.select(*needed).withColumn("node", F.xxhash64("source_id")), "nodes")
-    w = Window.partitionBy("key")
-    loose = [i for i, (_, a) in enumerate(rules) if "letter" in a]
-    differ = lambda c: F.coalesce(F.min(c).over(w) != F.max(c).over(w), F.lit(False))
-    star = (
-        keyed(nodes, rules)
-        .withColumns({"to": F.min("node").over(w), "clash": differ("npi9") | (~F.col("rule").isin(*loose) & (differ("known") | differ("middle")))})
-        .filter((F.col("node") != F.col("to")) & ~F.col("clash"))
-        .select("node", "to", "rule")
-    )
+    star = links_of(keyed(nodes, rules), [i for i, (_, a) in enumerate(rules) if "letter" in a])
     star = stored(star, "star")
     label = stored(nodes.filter("label is not null").select("node", F.xxhash64("label").alias("label")).distinct(), "labels")
     # An entity is labelled as a whole, so a labelled record's link to any other label or to none is wrong.
@@ -103,7 +136,7 @@ def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]
     names = [n for n, _ in rules]
     got = {r["rule"]: (r["confidence"], r["links"]) for r in measured.collect()}  # one row per rule
     # Without labels nothing is measured: one right, one wrong gives a half, and all rules stay.
-    trusted = {i: got.get(i, (0.5, 0))[0] for i in range(len(rules)) if got.get(i, (1.0, 0))[0] >= floor}
+    trusted = {i: got.get(i, (0.5, 0))[0] for i in range(3 * len(rules)) if got.get(i, (1.0, 0))[0] >= floor}
     if not trusted:
         return rows.sparkSession.createDataFrame([], "source_id_1 string, source_id_2 string, rule string, confidence double")
     conf = F.element_at(F.create_map(*[F.lit(x) for kv in trusted.items() for x in kv]), F.col("rule"))
@@ -129,7 +162,7 @@ def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]
     return (
         a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.source") != F.col("b.source")) & (F.col("a.source_id") < F.col("b.source_id")))
         .select(F.col("a.source_id").alias("source_id_1"), F.col("b.source_id").alias("source_id_2"), F.greatest("a.rule", "b.rule").alias("rule"))
-        .select("source_id_1", "source_id_2", F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (i, n)]), F.col("rule")).alias("rule"), conf.alias("confidence"))
+        .select("source_id_1", "source_id_2", F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for k in range(3) for x in (3 * i + k, n)]), F.col("rule")).alias("rule"), conf.alias("confidence"))
     )
 
 

@@ -138,3 +138,11 @@ def test_survivor_decides_ties(spark):
     mapping = spark.createDataFrame([(s, p) for s in ("s1", "s2") for p in ("P1", "P2")], "source_id string, canonical_id string")
     held = spark.createDataFrame([("P1", "Albert Krablo", "Hand Surgery", "Clinic A of the North"), ("P2", "Albert Krablo", "Hand Surgery", "Clinic B of the North")], "id string, name string, specialty string, primary_facility string")
     assert [tuple(r) for r in held_worse(held, records, mapping, spec, fac).collect()] == [("P1", "primary_facility")]
+
+
+def test_clashing_keys_are_divided(spark):
+    columns = "source_id string, source string, label string, known_given string, middle string, initial string, npi9 string, surname string, given string"
+    row = lambda i, src, npi: (f"{src}_{i}", src, None, "albert", None, "a", npi, "krablo", "albert")
+    df = spark.createDataFrame([row(1, "cms", "1"), row(2, "hospital", "1"), row(3, "license", None), row(4, "cms", "1"), row(5, "hospital", "2")], columns)
+    got = {tuple(p)[:2] for p in match_entities(df, (("name", ("surname", "given")),)).collect()}
+    assert got == {("cms_1", "hospital_2"), ("cms_1", "license_3"), ("cms_4", "hospital_2"), ("cms_4", "license_3"), ("hospital_2", "license_3")}
