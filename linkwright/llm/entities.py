@@ -35,7 +35,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("tail_middle_facility", ("tail", "initial", "middle", "facility_id")),
     ("name", ("surname", "given")),
 )
-#: A rule's links are used if so large a share of the labelled ones, smoothed, is right.
+#: A rule's links are used if so large a share of the labelled ones is right.
 FLOOR = 0.995
 #: The rules are measured on about this many labelled records, whole entities at a time.
 MOST_LABELLED = 40_000
@@ -116,7 +116,8 @@ def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]
     disagree are divided by them, see links_of(). A rule's confidence is its
     precision on the labelled records, smoothed with one right and one wrong
     link, taken apart for whole keys, for parts and for what is attached to a
-    part; rules under floor are left out.
+    part; those with a share of right links, not smoothed, under floor are left
+    out. Without any labelled link there is no ground to leave one out.
 
     Nulls: a rule needs all of its attributes. Repeated rows count once. Records
     that share nothing are in no pair. Work grows with records times rules: a
@@ -132,11 +133,15 @@ def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]
     marks = F.broadcast(label)  # the labelled sample is bounded, see MOST_LABELLED
     tested = star.join(marks, "node").join(F.broadcast(label.select(F.col("node").alias("to"), F.col("label").alias("to_label"))), "to", "left")
     right = F.coalesce((F.col("label") == F.col("to_label")).cast("int"), F.lit(0))
-    measured = tested.groupBy("rule").agg(((F.sum(right) + 1) / (F.count(F.lit(1)) + 2)).alias("confidence"), F.count(F.lit(1)).alias("links"))
+    measured = tested.groupBy("rule").agg(F.sum(right).alias("right"), F.count(F.lit(1)).alias("links"))
     names = [n for n, _ in rules]
-    got = {r["rule"]: (r["confidence"], r["links"]) for r in measured.collect()}  # one row per rule
-    # Without labels nothing is measured: one right, one wrong gives a half, and all rules stay.
-    trusted = {i: got.get(i, (0.5, 0))[0] for i in range(3 * len(rules)) if got.get(i, (1.0, 0))[0] >= floor}
+    got = {r["rule"]: (r["right"], r["links"]) for r in measured.collect()}  # at most three rows per rule
+    # The share itself is held against floor: smoothed, a rule with few labelled links would fail by their number alone.
+    trusted = {}
+    for i in range(3 * len(rules)):
+        good, links = got.get(i, (0, 0))
+        if good >= floor * links:
+            trusted[i] = (good + 1) / (links + 2)
     if not trusted:
         return rows.sparkSession.createDataFrame([], "source_id_1 string, source_id_2 string, rule string, confidence double")
     conf = F.element_at(F.create_map(*[F.lit(x) for kv in trusted.items() for x in kv]), F.col("rule"))

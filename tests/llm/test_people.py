@@ -146,3 +146,10 @@ def test_clashing_keys_are_divided(spark):
     df = spark.createDataFrame([row(1, "cms", "1"), row(2, "hospital", "1"), row(3, "license", None), row(4, "cms", "1"), row(5, "hospital", "2")], columns)
     got = {tuple(p)[:2] for p in match_entities(df, (("name", ("surname", "given")),)).collect()}
     assert got == {("cms_1", "hospital_2"), ("cms_1", "license_3"), ("cms_4", "hospital_2"), ("cms_4", "license_3"), ("hospital_2", "license_3")}
+
+
+def test_few_labelled_links_leave_a_rule_in(spark):
+    columns = "source_id string, source string, label string, known_given string, middle string, initial string, npi9 string, surname string, given string"
+    row = lambda i, src, last, label: (f"{src}_{i}", src, label, "albert", None, "a", None, last, "albert")
+    df = spark.createDataFrame([row(1, "cms", "krablo", "E1"), row(2, "hospital", "krablo", "E1"), row(3, "cms", "vintes", None), row(4, "hospital", "vintes", None)], columns)
+    assert [tuple(p)[:2] for p in match_entities(df, (("name", ("surname", "given")),)).collect()] == [("cms_3", "hospital_4")]
