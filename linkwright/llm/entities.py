@@ -42,7 +42,7 @@ MOST_LABELLED = 40_000
 
 
 def keyed(nodes: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]) -> DataFrame:
-    """(node, known, middle, npi9, rule, key): a row for each rule all of whose attributes are there; small, so numbers only."""
+    """(node, labelled, known, middle, npi9, rule, key): a row for each rule all of whose attributes are there; small, so numbers only."""
 
     def key(i: int, attributes: tuple[str, ...], letter: str) -> Column:
         attributes = tuple(letter if a == "letter" else a for a in attributes)
@@ -53,8 +53,8 @@ def keyed(nodes: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]) -> Dat
 
     every = [key(i, a, letter) for i, (_, a) in enumerate(rules) for letter in (("initial", "middle") if "letter" in a else ("",))]
     keys = F.explode(F.filter(F.array(*every), lambda k: k.isNotNull()))
-    return nodes.select("node", F.hash("known_given").alias("known"), F.ascii("middle").cast("tinyint").alias("middle"), F.hash("npi9").alias("npi9"), F.col("known_given").isNull().alias("k0"), F.col("npi9").isNull().alias("n0"), keys.alias("k")).select(
-        "node", F.when(~F.col("k0"), F.col("known")).alias("known"), "middle", F.when(~F.col("n0"), F.col("npi9")).alias("npi9"), "k.*"
+    return nodes.select("node", F.col("label").isNotNull().alias("labelled"), F.hash("known_given").alias("known"), F.ascii("middle").cast("tinyint").alias("middle"), F.hash("npi9").alias("npi9"), F.col("known_given").isNull().alias("k0"), F.col("npi9").isNull().alias("n0"), keys.alias("k")).select(
+        "node", "labelled", F.when(~F.col("k0"), F.col("known")).alias("known"), "middle", F.when(~F.col("n0"), F.col("npi9")).alias("npi9"), "k.*"
     )
 
 
@@ -74,7 +74,7 @@ def links_of(keys: DataFrame, loose: Sequence[int]) -> DataFrame:
     rows = rows.withColumns({"several": F.min("node").over(key) != F.max("node").over(key), **{f"{c}_differs": differ(c) for c in ("npi9", "known", "middle")}}).filter("several")
     clash = F.col("npi9_differs") | F.col("known_differs") | F.col("middle_differs")
     # What agrees tells no parts apart.
-    rows = rows.select("node", "rule", "key", clash.alias("clash"), *(F.when(F.col(f"{c}_differs"), F.col(c)).alias(c) for c in ("npi9", "known", "middle")), *(f"{c}_differs" for c in ("npi9", "known", "middle")))
+    rows = rows.select("node", "labelled", "rule", "key", clash.alias("clash"), *(F.when(F.col(f"{c}_differs"), F.col(c)).alias(c) for c in ("npi9", "known", "middle")), *(f"{c}_differs" for c in ("npi9", "known", "middle")))
     own = ~clash_lacks()
     rows = rows.withColumn("own", own)
     mode = lambda c, *by: F.mode(c, True).over(over(*by))
@@ -82,7 +82,10 @@ def links_of(keys: DataFrame, loose: Sequence[int]) -> DataFrame:
     rows = rows.withColumn("known", F.coalesce("known", mode("known", "npi9")))
     rows = rows.withColumn("middle", F.coalesce("middle", mode("middle", "npi9", "known")))
     part = over("npi9", "known", "middle")
-    rows = rows.withColumns({"first": F.min("node").over(part), "first_own": F.min(F.when(F.col("own"), F.col("node"))).over(part)})
+    # Labelled records only measure: what is unlabelled meets without them.
+    least = lambda fit, w: F.min(F.when(fit, F.col("node"))).over(w)
+    centre = lambda fit, w: F.when(F.col("labelled"), least(fit, w)).otherwise(least(fit & ~F.col("labelled"), w))
+    rows = rows.withColumns({"first": centre(F.lit(True), part), "first_own": centre(F.col("own"), part)})
     inner = F.col("own") & (F.col("node") != F.col("first_own"))
     kind = F.when(~F.col("clash"), 0).when(inner, 1).otherwise(2)
     # All links lead to a smaller node: the first with values of its own leads on to the first of all.
@@ -145,7 +148,7 @@ def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]
     if not trusted:
         return rows.sparkSession.createDataFrame([], "source_id_1 string, source_id_2 string, rule string, confidence double")
     conf = F.element_at(F.create_map(*[F.lit(x) for kv in trusted.items() for x in kv]), F.col("rule"))
-    links = star.filter(F.col("rule").isin(*trusted)).join(marks.select("node"), "node", "left_anti").join(F.broadcast(label.select(F.col("node").alias("to"))), "to", "left_anti")
+    links = star.filter(F.col("rule").isin(*trusted)).join(marks.select("node"), "node", "left_anti")
     joined = groups or group_links
     # A record has at most one link a rule, many of them to the same record: one row for each record.
     first = stored(links.groupBy("node").agg(F.min_by("to", "rule").alias("to"), F.min("rule").alias("rule"), F.collect_set("to").alias("all")), "first")

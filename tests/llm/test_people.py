@@ -153,3 +153,10 @@ def test_few_labelled_links_leave_a_rule_in(spark):
     row = lambda i, src, last, label: (f"{src}_{i}", src, label, "albert", None, "a", None, last, "albert")
     df = spark.createDataFrame([row(1, "cms", "krablo", "E1"), row(2, "hospital", "krablo", "E1"), row(3, "cms", "vintes", None), row(4, "hospital", "vintes", None)], columns)
     assert [tuple(p)[:2] for p in match_entities(df, (("name", ("surname", "given")),)).collect()] == [("cms_3", "hospital_4")]
+
+
+def test_unlabelled_meet_without_a_labelled_centre(spark):
+    columns = "source_id string, source string, label string, known_given string, middle string, initial string, npi9 string, surname string, given string"
+    people = lambda k: [(f"{src}_{last}", src, "E1" if i == k else None, "albert", None, "a", None, last, "albert") for last in ("krablo", "vintes") for i, src in enumerate(("cms", "hospital", "license"))]
+    for k in range(3):  # one of them has the smallest hash
+        assert match_entities(spark.createDataFrame(people(k), columns), (("name", ("surname", "given")),), floor=0.0).count() == 2
