@@ -160,3 +160,14 @@ def test_unlabelled_meet_without_a_labelled_centre(spark):
     people = lambda k: [(f"{src}_{last}", src, "E1" if i == k else None, "albert", None, "a", None, last, "albert") for last in ("krablo", "vintes") for i, src in enumerate(("cms", "hospital", "license"))]
     for k in range(3):  # one of them has the smallest hash
         assert match_entities(spark.createDataFrame(people(k), columns), (("name", ("surname", "given")),), floor=0.0).count() == 2
+
+
+def test_large_components_cluster_alike(spark, monkeypatch):
+    from linkwright.llm import variants
+
+    records, _ = people(spark, 6, seed=2)
+    rows = person_features(spark, records.withColumn("raw", spelling(F.col("name_raw"))), ("raw",)).localCheckpoint()
+    pairs = lambda: sorted(tuple(p) for p in variant_pairs(link_variants(rows, least=0.3, far_least=0.3)).collect())
+    want = pairs()
+    monkeypatch.setattr(variants, "MOST_NAMES", 1)
+    assert want and pairs() == want
