@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkwright.llm.groups import follow, group_links
 from linkwright.llm.people import features, given_names
+from linkwright.llm.values import field_values, map_fields
 from linkwright.storage import join_checked, stored
 
 #: Attribute combinations from strong to weak. npi9: the npi but for its first digit, the one most often wrong; head and
@@ -174,16 +175,21 @@ def match_entities(rows: DataFrame, rules: Sequence[tuple[str, tuple[str, ...]]]
     )
 
 
-def person_rows(records: DataFrame, mapping: DataFrame, specialties: DataFrame, facilities: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def person_rows(records: DataFrame, mapping: DataFrame, specialties: DataFrame, facilities: DataFrame, extra: tuple[str, ...] = (), most_labelled: int = MOST_LABELLED) -> DataFrame:
     """features() with label (canonical id of settled source_ids), and npi9, head and tail of npi and surname.
 
-    Settled records beyond a sample of about MOST_LABELLED, whole entities by a hash, are left out.
+    Settled records beyond a sample of about most_labelled, whole entities by a
+    hash, are left out before anything is taken apart; what is learned about
+    given names and typed values rests on all records.
     """
+    records = records.filter(F.col("source_id").isNotNull())
     labels = stored(mapping.filter(F.col("source_id").isNotNull() & F.col("canonical_id").isNotNull()).groupBy("source_id").agg(F.min("canonical_id").alias("label")), "labels")
-    share = labels.agg(F.least(F.lit(1.0), F.lit(MOST_LABELLED) / F.greatest(F.count(F.lit(1)), F.lit(1)))).first()[0]
-    rows = features(records.filter(F.col("source_id").isNotNull()), given_names(records, labels), specialties, facilities, extra)
-    rows = join_checked(rows, labels, "source_id").filter(F.col("label").isNull() | (F.pmod(F.xxhash64("label"), F.lit(1_000_000)) < share * 1_000_000))
-    return rows.withColumns({
+    share = labels.agg(F.least(F.lit(1.0), F.lit(most_labelled) / F.greatest(F.count(F.lit(1)), F.lit(1)))).first()[0]
+    sampled = F.pmod(F.xxhash64("label"), F.lit(1_000_000)) < int(share * 1_000_000)
+    givens = stored(given_names(records, labels), "givens")
+    values = map_fields(field_values(records, "specialty", "facility_name"), specialties, facilities)
+    kept = join_checked(records, labels, "source_id").filter(F.col("label").isNull() | sampled)
+    return features(kept, givens, specialties, facilities, ("label", *extra), mapping=values).withColumns({
         "npi9": F.substring("npi", 2, 9),  # the first digit is the one most often mistyped
         "head": F.when(F.length("surname") >= 5, F.substring("surname", 1, 4)), "tail": F.when(F.length("surname") >= 5, F.substring("surname", F.length("surname") - F.when(F.length("surname") >= 8, 4).otherwise(3), F.lit(5))),
     })

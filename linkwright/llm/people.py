@@ -21,9 +21,8 @@ LEAST_SHARE = 1 / 20_000
 
 def name_words(c: Column) -> Column:
     """Words of a typed name, plain, in order; titles, credentials and generation marks left out."""
-    low = F.regexp_replace(plain(c), "['’`-]", "")
+    low = F.translate(plain(c), "01358'’`-", "olesb")
     low = F.regexp_replace(low, r"(?<=\b[a-z])\.(?=[a-z]\.|[a-z]\b)", "")  # m.d. to md
-    low = F.translate(low, "01358", "olesb")
     words = F.filter(F.split(F.regexp_replace(low, "[^a-z]+", " "), " "), lambda w: (w != "") & ~w.isin(*NOT_NAMES))
     # Most parsed names are one word of plain letters.
     return F.when(c.rlike("^[A-Za-z]{5,}$"), F.array(F.lower(c))).otherwise(words)
@@ -85,10 +84,12 @@ def given_names(records: DataFrame, labels: DataFrame) -> DataFrame:
     """
     one = lambda c: F.array_join(name_words(F.col(c)), "")
     total = F.broadcast(records.agg(F.greatest(F.lit(3.0), F.count(F.lit(1)) / 3000).alias("least")))
-    used = records.select(F.explode(F.array(F.struct(one("name_first").alias("name"), F.lit(1).alias("f"), F.lit(0).alias("l")), F.struct(one("name_last").alias("name"), F.lit(0).alias("f"), F.lit(1).alias("l")))).alias("u")).select("u.*")
+    # Counted as typed first, so each spelling is taken apart once.
+    typed = records.select(F.explode(F.array(F.struct(F.col("name_first").alias("typed"), F.lit(True).alias("first")), F.struct(F.col("name_last").alias("typed"), F.lit(False).alias("first")))).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    used = typed.select(one("u.typed").alias("name"), F.when(F.col("u.first"), F.col("n")).otherwise(0).alias("f"), F.when(F.col("u.first"), 0).otherwise(F.col("n")).alias("l"))
     common = used.filter(F.length("name") >= 2).groupBy("name").agg(F.sum("f").alias("f"), F.sum("l").alias("l")).crossJoin(total).filter((F.col("f") >= F.col("least")) & (F.col("f") >= 4 * F.col("l"))).select("name")
-    firsts = records.select("source_id", one("name_first").alias("name")).filter(F.length("name") >= 2)
-    known = join_checked(firsts, labels, "source_id", "inner").groupBy("label", "name").agg(F.count(F.lit(1)).alias("n"))
+    firsts = join_checked(records.select("source_id", "name_first"), labels, "source_id", "inner").select("label", one("name_first").alias("name"))
+    known = firsts.filter(F.length("name") >= 2).groupBy("label", "name").agg(F.count(F.lit(1)).alias("n"))
     full = known.groupBy("label").agg(F.max(F.struct("n", F.length("name"), "name")).alias("m"), F.collect_list("name").alias("names")).filter(F.size("names") > 1)
     pairs = full.select(F.col("m.name").alias("given"), F.explode("names").alias("name")).groupBy("name", "given").agg(F.count(F.lit(1)).alias("n"))
     learned = (

@@ -29,8 +29,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkwright.llm.variants import link_variants, spelling, variant_pairs
 
     records, mapping = _table(spark, sf_dir, "source_records"), _table(spark, sf_dir, "source_canonical_mapping")
-    rows = person_rows(records.withColumn("raw", spelling(F.col("name_raw"))), mapping, _table(spark, sf_dir, "ref_specialties"), _table(spark, sf_dir, "ref_facilities"), ("raw",))
-    return variant_pairs(link_variants(rows.filter("label is null")))
+    rows = person_rows(records.withColumn("raw", spelling(F.col("name_raw"))), mapping, _table(spark, sf_dir, "ref_specialties"), _table(spark, sf_dir, "ref_facilities"), ("raw",), 0)
+    return variant_pairs(link_variants(rows))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

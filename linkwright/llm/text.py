@@ -16,9 +16,15 @@ def blank(c: Column) -> Column:
 
 
 def plain(c: Column) -> Column:
-    """Lower case without accents; ß becomes ss and æ, œ two letters."""
-    c = F.translate(F.lower(c), MARKED, PLAIN)
-    return F.replace(F.replace(F.replace(c, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
+    """Lower case without accents; ß becomes ss and æ, œ two letters. ASCII is spared the look-ups."""
+
+    def of(low: Column) -> Column:
+        full = F.translate(low, MARKED, PLAIN)
+        full = F.replace(F.replace(F.replace(full, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
+        return F.when(low.rlike(r"[^\x00-\x7F]"), full).otherwise(low)
+
+    # The lambda binds the lower-case text, so it is made once for all three uses.
+    return F.get(F.transform(F.array(F.lower(c)), of), F.lit(0))
 
 
 def squeezed(c: Column) -> Column:
@@ -35,6 +41,6 @@ def words_of(c: Column) -> Column:
     vanish ("E.N.T." is one word, "women's" is "womens").
     """
     cut = F.when(c.rlike(r"^\s*\p{Ll}\p{Lu}"), c).otherwise(F.regexp_replace(c, r"(\p{Ll}s?)(?=\p{Lu}\p{Ll})", "$1 "))
-    low = F.regexp_replace(plain(cut), "['’`]", "")
+    low = F.translate(plain(cut), "'’`", "")
     low = F.regexp_replace(low, r"(?<=\b[a-z])\.(?=[a-z]\b)", "")
     return F.filter(F.split(F.regexp_replace(low, "[^a-z0-9]+", " "), " "), lambda w: w != "")

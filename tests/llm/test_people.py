@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from linkwright.llm.entities import match_entities
 from linkwright.llm.people import features, given_names, name_words, state_code, surname_of, valid_npi, zip5
 from linkwright.llm.survivors import held_worse, layers, survivors
-from linkwright.llm.variants import agree, average_linkage, cosine, link_variants, spelling, variant_pairs, vector
+from linkwright.llm.variants import SIGMA, agree, average_linkage, link_variants, name_vectors, spelling, variant_pairs, vectors
 
 
 def test_columns(spark):
@@ -84,11 +84,26 @@ def test_variants(spark):
 
 
 def test_vectors():
-    idf = {}
-    assert abs(cosine(vector("smith|john|k||j", idf), vector("smith|john|k||j", idf)) - 1) < 1e-9
-    assert cosine(vector("smith|john||", idf), vector("smyth|john||", idf)) > cosine(vector("smith|john||", idf), vector("brown|john||", idf)) > 0
-    assert vector("||||", idf) == {}
-    assert agree("s|albert|k||a", "s||||a") and not agree("s|albert|k||a", "s|beatrice|k||b") and agree("s|albert|k|b|a", "s|beatrice|k||b") and not agree("s|albert|k|m|a", "s|albert|k|n|a")
+    import numpy as np
+
+    w = np.ones(SIGMA * SIGMA)
+    x = vectors(np.array(["thornton", "thronton", "", "zzz"]), w)
+    assert np.allclose((x * x).sum(axis=1), [1, 1, 0, 1])
+    assert 0.4 < x[0] @ x[1] < 1 and x[0] @ x[3] == 0
+    n = name_vectors(np.array(["thornton", "thornton", "thornton"]), np.array(["", "ann", "bob"]), w)
+    assert np.isclose(n[0] @ n[1], 0.8**0.5) and n[1] @ n[2] < 0.85
+
+
+def test_agree():
+    import numpy as np
+
+    def ok(a, b):
+        row = lambda t: {"initial": np.array([ord(t[0]) if t[0] else 0]), "middle": np.array([ord(t[1]) if t[1] else 0]), "known": np.array([t[2]])}
+        assert agree(row(a), row(b)) == agree(row(b), row(a))
+        return bool(agree(row(a), row(b))[0])
+
+    assert ok(("j", "", 1), ("j", "", 0)) and ok(("j", "", 0), ("", "", 0)) and ok(("j", "a", 1), ("a", "", 2))
+    assert not ok(("j", "", 1), ("j", "", 2)) and not ok(("j", "a", 1), ("j", "b", 1)) and not ok(("j", "", 1), ("k", "", 2))
 
 
 def test_average_linkage():
@@ -166,8 +181,17 @@ def test_large_components_cluster_alike(spark, monkeypatch):
     from linkwright.llm import variants
 
     records, _ = people(spark, 6, seed=2)
-    rows = person_features(spark, records.withColumn("raw", spelling(F.col("name_raw"))), ("raw",)).localCheckpoint()
-    pairs = lambda: sorted(tuple(p) for p in variant_pairs(link_variants(rows, least=0.3, far_least=0.3)).collect())
+    rows = person_features(spark, records.withColumn("raw", spelling(F.col("name_raw"))), ("raw",)).cache()
+    pairs = lambda: sorted(tuple(p) for p in variant_pairs(link_variants(rows, least=0.4)).collect())
     want = pairs()
     monkeypatch.setattr(variants, "MOST_NAMES", 1)
     assert want and pairs() == want
+
+
+def test_tiles_and_top_give_the_same_links(spark):
+    records, _ = people(spark, 40, seed=2)
+    rows = person_features(spark, records.withColumn("raw", spelling(F.col("name_raw"))), ("raw",)).withColumn("npi9", F.lit("234567890")).cache()
+    pairs = lambda **more: sorted(tuple(p) for p in variant_pairs(link_variants(rows, **more)).collect())
+    want = pairs()
+    assert want and pairs(tile=3) == want and pairs(top=10_000) == want
+    assert set(pairs(top=1)) <= set(want)
