@@ -12,6 +12,8 @@ from linkwright.storage import stored
 
 #: With so few links left, the contracted graph is finished in one task.
 LAST_LINKS = 20_000
+#: The same where groups are the result: all but the smallest graphs are decomposed.
+FEW_LINKS = 100
 
 
 def _finish(links: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def decompose(links: DataFrame, beta: float, reach: int, seed: int) -> DataFrame
     start = F.greatest(F.lit(0.0), reach + F.log(u) / beta) + F.pmod(F.xxhash64(F.lit(seed + 1), F.col("node")), F.lit(1 << 40)) / float(1 << 44)
     state = links.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("center"), start.alias("at"))
     for _ in range(reach):
-        come = links.join(state.hint("shuffle_hash"), links["a"] == state["node"]).select(F.col("b").alias("node"), "center", (F.col("at") + 1).alias("at"))
+        come = links.join(state, links["a"] == state["node"]).select(F.col("b").alias("node"), "center", (F.col("at") + 1).alias("at"))
         state = state.unionByName(come).groupBy("node").agg(F.min_by("center", "at").alias("center"), F.min("at").alias("at"))
     return state.select("node", "center")
 
@@ -74,13 +76,13 @@ def group_links(links: DataFrame, beta: float = 0.7, reach: int = 2, last: int =
         level = stored(decompose(both, beta, reach, 7 + 2 * len(levels)), "level")
         levels.append(level)
         # Ends are renamed one after the other; most links fall within clusters and end here.
-        one = left.join(level.select(F.col("node").alias("a"), F.col("center").alias("ca")).hint("shuffle_hash"), "a").select("ca", "b")
-        two = one.join(level.select(F.col("node").alias("b"), F.col("center").alias("cb")).hint("shuffle_hash"), "b").filter("ca <> cb")
+        one = left.join(level.select(F.col("node").alias("a"), F.col("center").alias("ca")), "a").select("ca", "b")
+        two = one.join(level.select(F.col("node").alias("b"), F.col("center").alias("cb")), "b").filter("ca <> cb")
         left = stored(two.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
     group = _finish(left)
     for level in reversed(levels):
         top = group.select(F.col("node").alias("center"), "group")
-        group = level.join(top.hint("shuffle_hash"), "center", "left").select("node", F.coalesce("group", "center").alias("group"))
+        group = level.join(top, "center", "left").select("node", F.coalesce("group", "center").alias("group"))
     return group.unionByName(lone.join(group, "node", "left_anti").select("node", F.col("node").alias("group")))
 
 
@@ -92,7 +94,7 @@ def follow(pointers: DataFrame) -> DataFrame:
     now = stored(pointers.select("node", "to"), "pointers")
     while True:
         far = now.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        new = stored(now.join(far.hint("shuffle_hash"), "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "pointers")
+        new = stored(now.join(far, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "pointers")
         now = new.select("node", "to")
         if new.filter("moved").isEmpty():
             roots = now.select(F.col("to").alias("node")).distinct()
@@ -105,7 +107,7 @@ def linked_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.filter(said & (F.col("source_id_1") != F.col("source_id_2"))).select("source_id_1", "source_id_2")
 
 
-def consolidate(pairs: DataFrame, beta: float = 0.7, reach: int = 2, last: int = LAST_LINKS) -> DataFrame:
+def consolidate(pairs: DataFrame, beta: float = 0.7, reach: int = 2, last: int = FEW_LINKS) -> DataFrame:
     """(source_id, group_id) of every id with a link; group_id is the smallest id it can reach.
 
     pairs: source_id_1, source_id_2 STRING. Null ids are no link, an id linked
@@ -120,6 +122,8 @@ def consolidate(pairs: DataFrame, beta: float = 0.7, reach: int = 2, last: int =
         nodes = stored(ends.groupBy("node").agg(F.min("source_id").alias("source_id"), F.max("source_id").alias("other")), "nodes")
         if nodes.filter("source_id <> other").isEmpty():
             break
+    else:
+        raise RuntimeError("no 64-bit hash tells all ids apart")
     group = stored(group_links(hashed.select("a", "b"), beta, reach, last).join(nodes.select("node", "source_id"), "node").select("source_id", "group"), "groups")
     name = group.groupBy("group").agg(F.min("source_id").alias("group_id"))
     return group.join(name, "group").select("source_id", "group_id")
