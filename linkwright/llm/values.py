@@ -4,13 +4,15 @@ Every distinct value and every reference entry becomes a set of word ids. Words
 of the values are first tied to the words of the reference list (spelling slips,
 abbreviations, codes), then the sets are joined: tokens ordered by global
 rarity, only the rare prefixes joined, length and positional filters applied,
-Jaccard verified exactly, best entry kept. An exact check follows: every word
-of the entry must be covered by another word of the value.
+Jaccard verified exactly, the entry of the highest Jaccard (then of the fewest
+slips) kept. An exact check follows: every word of the entry must be covered by
+another word of the value.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -70,9 +72,11 @@ class WordIndex:
         self.words, self.short_forms = words, short_forms
         self.near: dict[str, list[str]] = {}
         self.begun: dict[str, set[str]] = {}
-        self.by_letter: dict[str, list[str]] = {}
+        #: Words by their first letter and one that comes later: whatever a word is the beginning or a thinning of is among those of its first two.
+        self.by_letters: dict[str, list[str]] = {}
         for w in words:
-            self.by_letter.setdefault(w[:1], []).append(w)
+            for x in dict.fromkeys(w[1:]):
+                self.by_letters.setdefault(w[0] + x, []).append(w)
             for d in deletions(w, self.slips_in(w)):
                 self.near.setdefault(d, []).append(w)
             for k in range(5, min(9, len(w) - 1)) if len(w) <= 20 else ():
@@ -98,7 +102,7 @@ class WordIndex:
         if self.short_forms.get(w) in self.words:
             found.setdefault(self.short_forms[w], 1)
         if 2 <= len(w) <= 11 and (not found or len(w) <= 6):
-            for v in self.by_letter.get(w[0], ()):
+            for v in self.by_letters.get(w[:2], ()):
                 if len(v) > len(w):
                     if v.startswith(w):
                         found.setdefault(v, 1 if len(v) <= 16 else 2)
@@ -114,21 +118,31 @@ class WordIndex:
         return found
 
 
+#: The index a worker holds, by a mark of the call it belongs to.
+_INDEXES: dict[str, dict[int, WordIndex]] = {}
+
+
 def _tie_words(words: DataFrame, known: Mapping[int, Mapping[str, int]], ranks: Mapping[tuple[int, str], int], short_forms: Mapping[str, str], ratio: float) -> DataFrame:
-    """(list, word, n) to (list, word, ties): for each tie the rank of the token and the cost in one number."""
+    """(list, word, n) to (list, word, ties): for each tie the rank of the token (31 bits) and the cost (8) in one number, with 24 bits left for the word's place."""
+
+    mark = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = {k: WordIndex(ws, short_forms) for k, ws in known.items()}
+        # A worker serves many tasks; it builds the index once.
+        if mark not in _INDEXES:
+            _INDEXES.clear()
+            _INDEXES[mark] = {k: WordIndex(ws, short_forms) for k, ws in known.items()}
+        index = _INDEXES[mark]
         for b in batches:
             rows = []
             for k, w, n in zip(b["list"].tolist(), b["word"], b["n"].tolist()):
                 if k in index and (found := index[k].find(w, n, ratio)):
-                    rows.append((k, w, [ranks[k, v] * 65536 + c * 256 for v, c in found.items()]))
+                    rows.append((k, w, [(ranks[k, v] << 32) + (c << 24) for v, c in found.items()]))
             if rows:
                 yield pd.DataFrame(rows, columns=["list", "word", "ties"])
 
     # The words are few bytes and much work: all cores take part, whatever the size.
-    return words.repartition(words.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "list int, word string, ties array<int>")
+    return words.repartition(words.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "list int, word string, ties array<long>")
 
 
 @dataclass(frozen=True)
@@ -168,7 +182,7 @@ def resolve_values(values: DataFrame, forms: Sequence[Form], threshold: float =
 
     forms are those of reference_forms() for every list. Values without an entry
     come out with ref_id 'UNMATCHED'; null and blank values come out too,
-    unmatched. A tie between entries (the same cost) leaves the value
+    unmatched. A tie between entries (Jaccard and cost) leaves the value
     unmatched. Empty inputs give empty results; an empty reference list leaves
     all of its values unmatched.
 
@@ -195,36 +209,43 @@ def resolve_values(values: DataFrame, forms: Sequence[Form], threshold: float =
     known: dict[int, dict[str, int]] = {}
     for (k, w), n in often.items():
         known.setdefault(k, {})[w] = n
-    # Reference side: tokens by global rarity. All tokens of an entry have to be shared in the end, so need is their
-    # number, and the prefix that no set in question can miss is the rarest of them.
-    need = lambda r: max(math.ceil(threshold * r), r)
+    # Reference side: tokens by global rarity. Two sets of Jaccard threshold or more share at least threshold of either, so
+    # one of the first r - threshold * r + 1 tokens of an entry is shared.
     index = []
     for f in forms:
         toks = sorted({rarity[f.list, w] for w in f.tokens})
-        index += [(rank, pos, f.ref_id, f.short, toks) for pos, rank in enumerate(toks[: len(toks) - need(len(toks)) + 1])]
+        index += [(rank, pos, f.ref_id, f.short, toks) for pos, rank in enumerate(toks[: len(toks) - math.ceil(threshold * len(toks)) + 1])]
     index = spark.createDataFrame(index, "token int, r_pos int, ref_id string, short boolean, r_toks array<int>")
 
     tied = _tie_words(counted, known, rarity, short_forms, ratio)
     placed = sets.select("list", "value", F.size("words").alias("k"), F.posexplode("words").alias("at", "word")).join(tied, ["list", "word"])
-    probe = placed.select("list", "value", "k", F.explode("ties").alias("t"), F.least("at", F.lit(255)).alias("at")).groupBy("list", "value", "k").agg(F.collect_list(F.col("t") + F.col("at")).alias("l"))
-    # A typed word may be tied to several tokens, so the value's side has no one order: all of it probes the entries' prefixes.
+    rank_of = lambda t: F.shiftright(t, 32).cast("int")
+    lists = placed.select("list", "value", "k", F.transform("ties", lambda t: t + F.col("at")).alias("ties"), rank_of(F.array_max("ties")).alias("last"))
+    probe = lists.groupBy("list", "value", "k").agg(F.flatten(F.collect_list("ties")).alias("l"), F.sort_array(F.collect_list("last")).alias("lasts"))
+    # The value's side: a typed word may be tied to several tokens. Before the rarest shared token t come only words that
+    # share nothing: those without a tie and those whose last tie is rarer than t. There may be k - threshold * k of them.
+    spare = F.col("k") - F.ceil(F.lit(threshold) * F.col("k")).cast("int") - (F.col("k") - F.size("lasts"))
+    cut = F.when(spare < F.size("lasts"), F.get("lasts", spare)).otherwise(F.element_at("lasts", -1))
+    prefix = F.array_distinct(F.filter(F.transform("l", rank_of), lambda t: t <= F.col("cut")))
+    probe = probe.filter(spare >= 0).withColumn("cut", cut)
+    overlap = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("k") + F.size("r_toks")) - 1e-9)
     met = (
-        probe.select("list", "value", "k", "l", F.explode(F.array_distinct(F.transform("l", lambda t: F.shiftright(t, 16)))).alias("token"))
+        probe.select("list", "value", "k", "l", "lasts", F.explode(prefix).alias("token"))
         .join(F.broadcast(index), "token")
         .filter((F.size("r_toks") >= F.ceil(F.lit(threshold) * F.col("k"))) & (F.col("k") >= F.ceil(F.lit(threshold) * F.size("r_toks"))))  # length filter
-        .filter((F.col("k") >= F.size("r_toks")) & (F.size("l") >= F.size("r_toks") - F.col("r_pos")))  # positional filter: enough tied words are left
-    )
+        .filter(F.least(F.size("r_toks") - F.col("r_pos"), F.size(F.filter("lasts", lambda t: t >= F.col("token")))) >= overlap)  # positional filter
+    )
     # Exact verification: for each token of the entry the cheapest word of the value, each word once. Exploding an array of
-    # one keeps what follows from being computed again in every filter.
-    best = F.transform("r_toks", lambda r: F.array_min(F.filter("l", lambda t: F.shiftright(t, 16) == r)))
+    # one keeps what follows from being computed again in every filter. Beyond the threshold, every token has to be covered.
+    best = F.transform("r_toks", lambda r: F.array_min(F.filter("l", lambda t: rank_of(t) == r)))
     checked = (
         met.select("list", "value", "k", "ref_id", "short", F.size("r_toks").alias("r"), F.explode(F.array(best)).alias("hit"))
         .filter(~F.exists("hit", lambda h: h.isNull()))
-        .withColumn("m", F.size(F.array_distinct(F.transform("hit", lambda h: h.bitwiseAND(255)))))
+        .withColumn("m", F.size(F.array_distinct(F.transform("hit", lambda h: h.bitwiseAND(0xFFFFFF)))))
         .withColumn("jaccard", F.col("m") / (F.col("k") + F.col("r") - F.col("m")))
         .filter((F.col("jaccard") >= threshold) & (F.col("m") == F.col("r")) & (~F.col("short") | (F.col("m") == F.col("k"))))
-        .withColumn("cost", F.aggregate("hit", F.lit(0), lambda a, h: a + F.shiftright(h, 8).bitwiseAND(255).cast("int")))
-        .groupBy("list", "value", "ref_id").agg(F.min(F.struct(F.col("cost") + 2 * (F.col("k") - F.col("m")), "cost")).alias("s"))
+        .withColumn("cost", F.aggregate("hit", F.lit(0), lambda a, h: a + F.shiftright(h, 24).bitwiseAND(255).cast("int")))
+        .groupBy("list", "value", "ref_id").agg(F.min(F.struct((-F.col("jaccard")).alias("far"), "cost")).alias("s"))
         .groupBy("list", "value").agg(F.min(F.struct(F.col("s"), F.col("ref_id"))).alias("one"), F.sort_array(F.collect_list("s")).alias("all"))
         .select("list", "value", F.when((F.size("all") > 1) & (F.col("all")[0] == F.col("all")[1]), F.lit(UNMATCHED)).otherwise(F.col("one.ref_id")).alias("ref_id"))
     )

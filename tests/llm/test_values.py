@@ -56,3 +56,17 @@ def test_word_index():
     ix = WordIndex({"hospital": 100, "health": 100, "center": 100, "surgery": 100}, SHORT_FORMS)
     assert ix.find("hosp", 5, 0.04) == {"hospital": 1} and ix.find("hsptl", 5, 0.04) == {"hospital": 2} and ix.find("ctr", 1, 0.04)["center"] <= 2
     assert ix.find("hopsital", 1, 0.04) == {"hospital": 1} and ix.find("sx", 9, 0.04)["surgery"] == 1 and not ix.find("zzz", 1, 0.04)
+
+
+def test_many_entries_and_long_values(spark):
+    from itertools import product
+
+    from linkwright.llm.values import Form, resolve_values
+
+    words = ["".join(w) for w in product("bcdfghjklmnpqrstvwxz", "aeiou", "bcdfghjklmnpqrstvwxz", "aeioubcdfghjklmnpq")][:34_000]
+    forms = [Form(0, str(i), (w,), False) for i, w in enumerate(words)]
+    spread = [Form(1, "wide", tuple(sorted(words[:300])), False)]
+    values = spark.createDataFrame([(0, words[33_999], 1), (0, words[7], 5), (1, " ".join(words[:300]), 1), (1, words[0], 1)], "list int, value string, n long")
+    got = {(r["list"], r["value"]): r["ref_id"] for r in resolve_values(values, forms + spread).collect()}
+    assert got[0, words[33_999]] == "33999" and got[0, words[7]] == "7"
+    assert got[1, " ".join(words[:300])] == "wide" and got[1, words[0]] == "UNMATCHED"
