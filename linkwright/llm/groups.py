@@ -13,7 +13,7 @@ from linkwright.storage import stored
 #: With so few links left, the contracted graph is finished in one task.
 LAST_LINKS = 20_000
 #: The same where groups are the result: all but the smallest graphs are decomposed.
-FEW_LINKS = 100
+FEW_LINKS = 1_000
 
 
 def _finish(links: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def decompose(links: DataFrame, beta: float, reach: int, seed: int) -> DataFrame
     return state.select("node", "center")
 
 
-def group_links(links: DataFrame, beta: float = 0.7, reach: int = 2, last: int = LAST_LINKS) -> DataFrame:
+def group_links(links: DataFrame, beta: float = 0.35, reach: int = 4, last: int = LAST_LINKS) -> DataFrame:
     """(node, group) for every node of links (a long, b long): group is the same for nodes connected directly or indirectly.
 
     Clusters of decompose() are contracted to super-vertices, the links between
@@ -107,7 +107,7 @@ def linked_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.filter(said & (F.col("source_id_1") != F.col("source_id_2"))).select("source_id_1", "source_id_2")
 
 
-def consolidate(pairs: DataFrame, beta: float = 0.7, reach: int = 2, last: int = FEW_LINKS) -> DataFrame:
+def consolidate(pairs: DataFrame, beta: float = 0.35, reach: int = 4, last: int = FEW_LINKS) -> DataFrame:
     """(source_id, group_id) of every id with a link; group_id is the smallest id it can reach.
 
     pairs: source_id_1, source_id_2 STRING. Null ids are no link, an id linked
