@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkwright.llm.people import features, given_names, name_words
@@ -16,73 +16,73 @@ from linkwright.storage import join_checked, stored
 
 # How far each source is trusted.
 TRUST = {"cms": 3, "license": 2, "hospital": 1, "publication": 0}
-#: Levels of agreement that are told apart; values with less support than the LEVELS-th most share the lowest.
-LEVELS = 8
+#: Most fields that a record is complete in.
+MOST_FIELDS = 15
 
 
-def layers(candidates: DataFrame) -> DataFrame:
-    """candidates with the dominance layer (1: undominated) of each within its group and field.
+def layers(records: DataFrame) -> DataFrame:
+    """(group, record, completeness, trust, recency, layer): the dominance layer (1: undominated) of each record within its group.
 
-    candidates: group, field, agreement (0 to LEVELS - 1), completeness and
+    records: group STRING, record (a number), completeness (0 to MOST_FIELDS),
     trust (0 to 3), recency (a timestamp). One dominates another if it is at
-    least as good in all four and better in one; a candidate's layer is one
-    more than that of the highest layer that dominates it. Candidates equal in
-    all four share a layer. A missing recency is the oldest.
+    least as good in all three and better in one; a record's layer is one more
+    than that of the highest layer that dominates it. Records equal in all three
+    share a layer. A missing recency is the oldest.
 
     Rows of a group come sorted, newest first, so the state held is one number
-    for each of the LEVELS * 16 combinations of the other three: a group may
-    have any number of rows.
+    for each combination of the other two: a group may have any number of rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, moment, top, fresh = None, None, None, []
+        key, moment, top, fresh = None, None, None, {}
         for b in batches:
             out = np.empty(len(b), dtype="int32")
-            rows = zip(b["group"], b["field"], b["agreement"], b["completeness"], b["trust"], b["seconds"])
-            for at, (g, f, a, c, t, r) in enumerate(rows):
-                if (g, f) != key:
-                    key, moment, fresh = (g, f), None, []
-                    top = np.zeros((LEVELS, 4, 4), dtype="int32")
+            for at, (g, c, t, r) in enumerate(zip(b["group"], b["completeness"], b["trust"], b["seconds"])):
+                if g != key:
+                    key, moment, fresh = g, None, {}
+                    top = [[0] * 4 for _ in range(MOST_FIELDS + 1)]
                 # Within a group rows of one moment come best first, so those that dominate have been seen.
                 if r != moment:
-                    moment = r
-                    fresh = []
-                same = [lay for x, lay in fresh if x == (a, c, t)]
-                lay = same[0] if same else int(top[a:, c:, t:].max()) + 1
-                if not same:
-                    fresh.append(((a, c, t), lay))
-                    top[a, c, t] = max(top[a, c, t], lay)
+                    moment, fresh = r, {}
+                lay = fresh.get((c, t)) or max(max(row[t:]) for row in top[c:]) + 1
+                fresh[c, t] = lay
+                top[c][t] = max(top[c][t], lay)
                 out[at] = lay
             if len(b):
                 yield b.drop(columns="seconds").assign(layer=out)
 
-    keep = ["group", "field", "value", "form", "agreement", "completeness", "trust"]
-    rows = candidates.select(*keep, F.coalesce(F.unix_micros(F.col("recency").cast("timestamp")), F.lit(-(2**62))).alias("seconds"), F.col("recency").cast("timestamp").alias("recency"))
-    rows = rows.repartition("group", "field").sortWithinPartitions("group", "field", F.desc("seconds"), F.desc("agreement"), F.desc("completeness"), F.desc("trust"))
-    return rows.mapInPandas(run, "group string, field string, value string, form string, agreement int, completeness int, trust int, recency timestamp, layer int")
+    rows = records.select("group", F.col("record").cast("long").alias("record"), "completeness", "trust", F.coalesce(F.unix_micros(F.col("recency").cast("timestamp")), F.lit(-(2**62))).alias("seconds"), F.col("recency").cast("timestamp").alias("recency"))
+    rows = rows.repartition("group").sortWithinPartitions("group", F.desc("seconds"), F.desc("completeness"), F.desc("trust"))
+    return rows.mapInPandas(run, "group string, record long, completeness int, trust int, recency timestamp, layer int")
 
 
 def survivors(evidence: DataFrame) -> DataFrame:
-    """(group, field, value, form, ties): the surviving value of each group and field, and all values with as much support.
+    """(group, field, value, form, ties, votes): the surviving value of each group and field, all values with as many records, and their number.
 
     evidence: group, field, record, value (null: the record has none), form (how
-    it is written), completeness (0 to 3), trust (0 to 3), recency. Agreement is
-    the rank of the value's number of records within group and field. Repeated
-    rows of a record count once. The first undominated value is taken in the
-    order of the policy: agreement, completeness, recency, trust, then the
-    smaller form. Each field is ranked by itself and nulls are no candidates, so
-    the first layer of a field with any value is never empty and later layers
-    have nothing to fill. Groups without any value for a field have no row for it.
+    it is written), completeness (0 to 3: how fully), trust (0 to 3), recency.
+    First what a group's records outvote (a value that fewer of them have) and
+    what one of them writes more fully is made null. Then whole records are
+    ranked: dominance over completeness (fields left), recency and trust gives
+    layers; within a layer the policy is completeness, recency, trust, then the
+    smaller form and value. The first record of the first layer survives, and
+    each of its nulls is filled from the first record, in the same order, that
+    has the field: of the rest of its layer, then of the next ones. Repeated rows
+    of a record count once. Groups without any value for a field have no row for
+    it. At most MOST_FIELDS fields.
     """
-    seen = evidence.filter(F.col("group").isNotNull() & F.col("value").isNotNull())
-    # Copies are merged before rows are ranked: what is left are ways of writing, not records.
-    forms = stored(seen.groupBy("group", "field", "value", "form", "completeness", "trust").agg(F.count_distinct("record").alias("n"), F.max("recency").alias("recency")), "forms")
-    support = forms.groupBy("group", "field", "value").agg(F.sum("n").alias("n")).withColumn("rank", F.dense_rank().over(Window.partitionBy("group", "field").orderBy(F.desc("n"))))
-    ties = support.filter("rank = 1").groupBy("group", "field").agg(F.sort_array(F.collect_list("value")).alias("ties"), F.max("n").alias("votes"))
-    ranked = forms.join(support.select("group", "field", "value", F.greatest(F.lit(LEVELS) - F.col("rank"), F.lit(0)).cast("int").alias("agreement")), ["group", "field", "value"])
-    best = F.min(F.struct("layer", (-F.col("agreement")).alias("a"), (-F.col("completeness")).alias("c"), (-F.coalesce(F.unix_micros(F.col("recency").cast("timestamp")), F.lit(-(2**62)))).alias("r"), (-F.col("trust")).alias("t"), "form", "value"))
-    chosen = layers(ranked).groupBy("group", "field").agg(best.alias("b")).select("group", "field", F.col("b.value").alias("value"), F.col("b.form").alias("form"))
-    return chosen.join(ties, ["group", "field"])
+    seen = evidence.filter(F.col("group").isNotNull() & F.col("value").isNotNull()).select("group", "field", F.xxhash64("record").alias("record"), "value", "form", "completeness", "trust", "recency")
+    # Votes are counted over copies merged before, so a hot group sends few rows.
+    support = stored(seen.groupBy("group", "field", "value").agg(F.count_distinct("record").alias("votes"), F.max("completeness").alias("completeness")), "support")
+    most = support.groupBy("group", "field").agg(F.max("votes").alias("votes"))
+    kept = stored(support.join(most, ["group", "field", "votes"]), "kept")
+    fields = stored(seen.join(kept, ["group", "field", "value", "completeness"]).select("group", "record", "field", "value", "form", "trust", "recency"), "fields")
+    whole = fields.groupBy("group", "record").agg(F.size(F.collect_set("field")).alias("completeness"), F.max("trust").alias("trust"), F.max("recency").alias("recency"))
+    ranked = layers(whole)
+    order = F.struct("layer", (-F.col("completeness")).alias("c"), (-F.coalesce(F.unix_micros("at"), F.lit(-(2**62)))).alias("r"), (-F.col("by")).alias("t"), "form", "value")
+    chosen = fields.join(ranked.select("group", "record", "completeness", F.col("recency").alias("at"), F.col("trust").alias("by"), "layer"), ["group", "record"]).groupBy("group", "field").agg(F.min(order).alias("b"))
+    ties = kept.groupBy("group", "field").agg(F.sort_array(F.collect_list("value")).alias("ties"), F.max("votes").alias("votes"))
+    return chosen.select("group", "field", F.col("b.value").alias("value"), F.col("b.form").alias("form")).join(ties, ["group", "field"])
 
 
 def group_evidence(records: DataFrame, mapping: DataFrame, specialties: DataFrame, facilities: DataFrame, spec_ids: DataFrame, fac_ids: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def group_evidence(records: DataFrame, mapping: DataFrame, specialties: DataFram
     pairs = stored(mapping.select("source_id", F.col("canonical_id").alias("group")).filter("source_id is not null and group is not null").distinct(), "pairs")
     said = join_checked(records, pairs, "source_id", "inner")
     labels = stored(pairs.groupBy("source_id").agg(F.min("group").alias("label")), "labels")
-    rows = features(said, given_names(said, labels), specialties, facilities, ("group", "as_of", F.col("specialty").alias("spec"), F.col("facility_name").alias("fac")), True, False)
+    rows = features(said, stored(given_names(said, labels), "givens"), specialties, facilities, ("group", "as_of", F.col("specialty").alias("spec"), F.col("facility_name").alias("fac")), True, False)
     rows = join_checked(rows, spec_ids.select(F.col("value").alias("spec"), F.col("ref_id").alias("spec_id"), F.col("full").alias("spec_full")), "spec")
     rows = join_checked(rows, fac_ids.select(F.col("value").alias("fac"), F.col("ref_id").alias("fac_id"), F.col("full").alias("fac_full")), "fac")
     trust = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv]), F.col("source")), F.lit(0))
@@ -143,7 +143,7 @@ def held_worse(held: DataFrame, records: DataFrame, mapping: DataFrame, specialt
     rows = held.select("id", "name", "specialty", "primary_facility").filter("id is not null")
     found = []
     for field, ids in (("specialty", spec_ids), ("primary_facility", fac_ids)):
-        mine = rows.select("id", F.col(field).alias("value")).join(ids.select("value", "ref_id", "full").hint("shuffle_hash"), "value", "left")
+        mine = rows.select("id", F.col(field).alias("value")).join(ids.select("value", "ref_id", "full"), "value", "left")
         b = best.filter(F.col("field") == field).select(F.col("group").alias("id"), F.col("value").alias("survivor"), "written")
         worse = F.col("ref_id").isNull() | (F.col("ref_id") != F.col("survivor")) | (~F.col("full") & F.coalesce(F.array_contains("written", F.col("ref_id")), F.lit(False)))
         found.append(mine.join(b, "id").filter(worse).select("id", F.lit(field).alias("field")))

@@ -116,16 +116,31 @@ def test_average_linkage():
 
 def test_layers(spark):
     rng = random.Random(3)
-    rows = [(f"g{rng.randrange(3)}", "f", f"v{i}", "x", rng.randrange(3), rng.randrange(3), rng.randrange(3), rng.choice([None, "2024-01-01", "2024-01-02", "2024-01-03"])) for i in range(150)]
-    df = spark.createDataFrame(rows, "group string, field string, value string, form string, agreement int, completeness int, trust int, recency string").withColumn("recency", F.col("recency").cast("timestamp"))
-    got = {r["value"]: r["layer"] for r in layers(df).collect()}
-    of = {r[2]: (r[0], (r[4], r[5], r[6], r[7] or "")) for r in rows}
+    rows = [(f"g{rng.randrange(3)}", i, rng.randrange(4), rng.randrange(3), rng.choice([None, "2024-01-01", "2024-01-02", "2024-01-03"])) for i in range(150)]
+    df = spark.createDataFrame(rows, "group string, record long, completeness int, trust int, recency string").withColumn("recency", F.col("recency").cast("timestamp"))
+    got = {r["record"]: r["layer"] for r in layers(df).collect()}
+    of = {r[1]: (r[0], (r[2], r[3], r[4] or "")) for r in rows}
     beats = lambda a, b: a != b and all(x >= y for x, y in zip(a, b))
     for v, (g, x) in of.items():
         above = [got[u] for u, (h, y) in of.items() if h == g and beats(y, x)]
         assert got[v] == 1 + max(above, default=0), v
 
 
+def test_nulls_are_filled_from_later_layers(spark):
+    """The survivor is the newest and most complete record; what it lacks comes from the first layer that has it, not from the newest record that has it."""
+    rows = [
+        ("g", "a", 1, "x", 3, "2024-06-01"), ("g", "b", 1, "y", 3, "2024-06-01"),
+        ("g", "c", 2, "old", 0, "2024-01-01"),  # layer 3, tied with the next for c
+        ("g", "c", 3, "trusted", 2, "2023-01-01"), ("g", "a", 3, "x", 2, "2023-01-01"),  # fewer than none: layer 2
+        ("g", "a", 4, "outvoted", 3, "2025-01-01"),
+    ]
+    df = spark.createDataFrame(rows, "group string, field string, record long, value string, trust int, recency string").withColumns({"recency": F.col("recency").cast("timestamp"), "form": F.col("value"), "completeness": F.lit(1)})
+    got = {r["field"]: r["value"] for r in survivors(df).collect()}
+    assert got == {"a": "x", "b": "y", "c": "trusted"}
+    newest = max((r for r in rows if r[1] == "c"), key=lambda r: r[5])[3]
+    assert newest == "old"  # a plain sort by recency takes another
+
+
 def test_survivors(spark):
     rows = [("a", "n", "r1", "x", "X", 1, 0, "2020-01-01"), ("a", "n", "r2", "x", "xx", 3, 0, "2020-01-01"), ("a", "n", "r3", "y", "Y", 3, 3, "2024-01-01"), ("a", "n", "r4", None, None, 3, 3, "2024-01-01"), ("b", "n", "r5", None, None, 0, 0, None), ("a", "n", "r3", "y", "Y", 3, 3, "2024-01-01"), (None, "n", "r6", "z", "z", 1, 1, None)]
     df = spark.createDataFrame(rows, "group string, field string, record string, value string, form string, completeness int, trust int, recency string").withColumn("recency", F.col("recency").cast("timestamp"))
