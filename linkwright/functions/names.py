@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 # Suffixes and titles that are taken off a name.
 SUFFIXES = ("MD", "M.D.", "M.D", "DO", "D.O.", "D.O", "PHD", "PH.D.", "PH.D", "FACS", "F.A.C.S.", "FACC", "F.A.C.C.", "FACP", "F.A.C.P.", "JR", "JR.", "SR", "SR.", "II", "III", "IV")
 TITLES = ("DR", "DR.", "PROF", "PROF.", "PROFESSOR")
-#: A name with more suffixes than this keeps the rest.
-MOST_SUFFIXES = 4
-
+# The form of a suffix at the end of a name, and of a title at its front.
 _SUFFIX = r"(?i),?\s*(" + "|".join(s.replace(".", r"\.") for s in sorted(SUFFIXES, key=lambda s: (-len(s), s))) + r")\.?\s*$"
 _TITLE = r"(?i)^(" + "|".join(t.replace(".", r"\.") for t in sorted(TITLES, key=lambda s: (-len(s), s))) + r")\s+"
+#: All suffixes at the end of a name, one after the other.
+_TAIL = _SUFFIX.replace("(?i)", "(?i)(?:").replace(r"\s*$", r"\s*)+$").replace(",?\\s*(", ",?\\s*(?:")
 
 
 def strip(c: Column) -> Column:
@@ -28,9 +28,9 @@ def given(c: Column) -> Column:
 def parse_name(raw: Column, split_initials: bool = True) -> Column:
     """struct(first, last, middle, suffix, title) of a raw name; all null for null, blank and names that are suffixes only.
 
-    Suffixes are cut from the end one by one and listed in the order of the
-    name; one title is cut from the front. "Last, First Middle" is split at the
-    first comma, else one word is a last name, two are first and last, more are
+    Suffixes are cut from the end one by one, however many, and listed in the
+    order of the name; one title is cut from the front and comes out in upper
+    case without dots. "Last, First Middle" is split at the first comma, else one word is a last name, two are first and last, more are
     first, middle words and last. split_initials: "J.A." stands for J and A.
     """
 
@@ -49,25 +49,27 @@ def parse_name(raw: Column, split_initials: bool = True) -> Column:
     def finish(state: Column) -> Column:
         title = F.regexp_extract(state["rest"], _TITLE, 1)
         name = F.regexp_replace(strip(F.regexp_replace(state["rest"], _TITLE, "")), r"\s+", " ")
-        last_first = F.regexp_extract(name, r"^([^,]+),\s*(.+)$", 1)
-        tail = F.split(F.regexp_extract(name, r"^([^,]+),\s*(.+)$", 2), " ")
+        last_first = F.substring_index(name, ",", 1)
+        behind = strip(F.substr(name, F.length(last_first) + 2))
+        tail = F.split(behind, " ")
         words = F.split(name, " ")
         n = F.size(words)
         fused = F.regexp_extract(words[0], r"^(\p{L})\.(\p{L})\.$", 1)
         fused_second = F.regexp_extract(words[0], r"^(\p{L})\.(\p{L})\.$", 2)
         split = (fused != "") & (n == 2) & F.lit(split_initials)
         rest = lambda ws, frm, count: F.when(count > 0, F.array_join(F.slice(ws, frm, F.greatest(count, F.lit(1))), " "))
-        comma = last_first != ""
+        comma = (last_first != "") & (behind != "")
         single = lambda c: F.when(~c.contains(" "), as_initial(c)).otherwise(c)
         first = F.when(comma, tail[0]).when(name == "", None).when(split, fused).when(n == 2, words[0]).when(n > 2, F.when((F.length(words[0]) <= 2) & words[0].endswith("."), F.substring(words[0], 1, 1)).otherwise(words[0]))
         last = F.when(comma, strip(last_first)).when(name == "", None).otherwise(F.element_at(words, -1))
         middle = F.when(comma, single(rest(tail, 2, F.size(tail) - 1))).when(split, fused_second).when(n > 2, single(rest(words, 2, n - 2)))
-        return F.struct(first.alias("first"), last.alias("last"), middle.alias("middle"), given(F.array_join(state["found"], ", ")).alias("suffix"), given(title).alias("title"))
+        return F.struct(first.alias("first"), last.alias("last"), middle.alias("middle"), given(F.array_join(state["found"], ", ")).alias("suffix"), given(F.replace(F.upper(title), F.lit("."), F.lit(""))).alias("title"))
 
     # transform over an array of one names the intermediate results, so each is computed once.
-    state = F.array(F.struct(strip(raw).alias("rest"), F.array().cast("array<string>").alias("found")))
-    for _ in range(MOST_SUFFIXES):
-        state = F.transform(state, cut)
+    # A suffix has two letters or more, so the suffixes at the end are at most half as many as its signs.
+    most = F.ceil(F.length(F.regexp_extract(raw, _TAIL, 0)) / 2).cast("int")
+    steps = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+    state = F.array(F.aggregate(steps, F.struct(strip(raw).alias("rest"), F.array().cast("array<string>").alias("found")), lambda at, _: cut(at)))
     blank = F.struct(*(F.lit(None).cast("string").alias(k) for k in ("first", "last", "middle", "suffix", "title")))
     return F.when(strip(F.coalesce(raw, F.lit(""))) == "", blank).otherwise(F.element_at(F.transform(state, finish), 1))
 

@@ -75,6 +75,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, most_rounds: int
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     return vertices.select("id").distinct().join(now.select(F.col("v").alias("id"), F.col("u").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

@@ -13,7 +13,9 @@ FIELDS = ("npi", "facility_zip", "facility_state")
 
 def well_formed(zips: DataFrame) -> dict:
     """Well-formed values of the three fields; states are those of zip_centroids, a reference list that doesn't grow."""
-    states = [r["state"] for r in zips.select("state").filter("state is not null").distinct().limit(1000).collect()]
+    states = [r["state"] for r in zips.select("state").filter("state is not null").distinct().limit(1001).collect()]
+    if len(states) > 1000:
+        raise ValueError("more than 1000 states")
     return {
         "npi": F.col("value").rlike(r"\A[0-9]{10}\z"),
         "facility_zip": F.col("value").rlike(r"\A[0-9]{5}(-[0-9]{4})?\z"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwright.functions.geo import distance_miles, geocode, nearby
-from linkwright.functions.names import display_name, names_match, parse_name, standardize_name
+from linkwright.functions.names import SUFFIXES, TITLES, display_name, names_match, parse_name, standardize_name
 from linkwright.functions.similarity import classify, location_score, score_pairs
 from linkwright.operators import blocking, canonical, graph, matching, pruning, reports
 from linkwright.storage import stored
@@ -74,17 +74,19 @@ s as (select v.*, coalesce(w.edges, 0) as edges, coalesce(aw, 0) as avg_weight,
 
 # --- names ---------------------------------------------------------------------------------------------------------
 
-_SUF = r"(?i),?\s*(F\.A\.C\.C\.|F\.A\.C\.P\.|F\.A\.C\.S\.|PH\.D\.|D\.O\.|FACC|FACP|FACS|M\.D\.|PH\.D|D\.O|III|JR\.|M\.D|PHD|SR\.|DO|II|IV|JR|MD|SR)\.?\s*$"
-_TIT = r"(?i)^(PROFESSOR|PROF\.|PROF|DR\.|DR)\s+"
+_SUF = r"(?i),?\s*(" + "|".join(x.replace(".", r"\.") for x in sorted(SUFFIXES, key=len, reverse=True)) + r")\.?\s*$"
+_TIT = r"(?i)^(" + "|".join(x.replace(".", r"\.") for x in sorted(TITLES, key=len, reverse=True)) + r")\s+"
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
 def _parsed_sql() -> str:
-    steps = [f"n0 as (select record_id, name_raw, {_STRIP.format('name_raw')} as x, '' as suf from source_records)"]
-    for i in range(1, 5):
-        hit = f"regexp_extract(x, '{_SUF}', 1)"
-        steps.append(f"n{i} as (select record_id, name_raw, case when {hit} <> '' then {_STRIP.format(f"regexp_replace(x, '{_SUF}', '')")} else x end as x, case when {hit} <> '' then replace(upper({hit}), '.', '') || case when suf = '' then '' else ', ' || suf end else suf end as suf from n{i - 1})")
-    steps.append(f"t as (select record_id, suf, nullif(regexp_extract(x, '{_TIT}', 1), '') as title, regexp_replace({_STRIP.format(f"regexp_replace(x, '{_TIT}', '')")}, '\\s+', ' ', 'g') as nm, {_STRIP.format('name_raw')} = '' as blank from n4 where name_raw is not null)")
+    # One row for each suffix taken off; the last one of a record is what is left.
+    hit = f"regexp_extract(x, '{_SUF}', 1)"
+    steps = [
+        f"n as (select record_id, name_raw, {_STRIP.format('name_raw')} as x, [] :: varchar[] as suf, 0 as k from source_records where name_raw is not null union all select record_id, name_raw, {_STRIP.format(f"regexp_replace(x, '{_SUF}', '')")}, list_prepend(replace(upper({hit}), '.', ''), suf), k + 1 from n where {hit} <> '')",
+        "bare as (select record_id, name_raw, arg_max(x, k) as x, array_to_string(arg_max(suf, k), ', ') as suf from n group by 1, 2)",
+        f"t as (select record_id, suf, nullif(replace(upper(regexp_extract(x, '{_TIT}', 1)), '.', ''), '') as title, regexp_replace({_STRIP.format(f"regexp_replace(x, '{_TIT}', '')")}, '\\s+', ' ', 'g') as nm, {_STRIP.format('name_raw')} = '' as blank from bare)",
+    ]
     steps.append(r"u as (select *, regexp_extract(nm, '^([^,]+),\s*(.+)$', 1) as lf, string_split(regexp_extract(nm, '^([^,]+),\s*(.+)$', 2), ' ') as tail, string_split(nm, ' ') as ws from t)")
     steps.append(r"k as (select *, len(ws) as n, regexp_extract(ws[1], '^(\p{L})\.(\p{L})\.$', 1) as f1, regexp_extract(ws[1], '^(\p{L})\.(\p{L})\.$', 2) as f2 from u)")
     single = "case when {0} like '% %' then {0} when length({0}) <= 2 and length(replace({0}, '.', '')) = 1 then upper(replace({0}, '.', '')) else {0} end"
@@ -94,7 +96,7 @@ def _parsed_sql() -> str:
         f"case when blank then null when lf <> '' then case when len(tail) > 1 then {single.format("array_to_string(tail[2:], ' ')")} end when f1 <> '' and n = 2 then f2 when n > 2 then {single.format("array_to_string(ws[2:n-1], ' ')")} end as middle, "
         "case when blank then null else nullif(suf, '') end as suffix, case when blank then null else title end as title from k)"
     )
-    return "with " + ",\n".join(steps)
+    return "with recursive " + ",\n".join(steps)
 
 
 _NULLS = " union all select record_id, null, null, null, null, null from source_records where name_raw is null"
@@ -191,7 +193,16 @@ def blocks_last_initial(spark, sf_dir):
     return blocking.blocks(latest(spark, sf_dir), "last_initial")
 
 
-@query()
+# American soundex: the first letter, then the digits of those that follow, H and W passed over, runs once, vowels and other signs dropped.
+_CODE = "translate({}, 'BFPVCGJKQSXZDTLMNRAEIOUYbfpvcgjkqsxzdtlmnraeiouyHWhw', '111122222222334556000000111122222222334556000000')"
+_DIGITS = "(case when name_last[1] in ('H', 'W', 'h', 'w') then '7' else " + _CODE.format("name_last[1]") + " end || " + _CODE.format("regexp_replace(substr(name_last, 2), '[^A-Za-z]', '0', 'g')") + ")"
+for _d in range(7):
+    _DIGITS = f"regexp_replace({_DIGITS}, '{_d}{_d}+', '{_d}', 'g')"
+_SOUNDEX = f"case when regexp_matches(name_last, '^[A-Za-z]') then upper(name_last[1]) || left(replace(substr({_DIGITS}, 2), '0', '') || '000', 3) else name_last end"
+_BLOCK["sound_state"] = f"case when name_last <> '' then ({_SOUNDEX}) || '|' || {_STATE} end"
+
+
+@query(_blocks_sql("sound_state"))
 def blocks_sound_state(spark, sf_dir):
     return blocking.blocks(latest(spark, sf_dir), "sound_state")
 
@@ -204,7 +215,10 @@ def candidate_pairs(spark, sf_dir):
     return blocking.candidate_pairs(latest(spark, sf_dir), sound=False)
 
 
-@query()
+_KEYED_SOUND = f"with {REC}, k as (select source_id, {_BLOCK['npi']} as k1, {_BLOCK['last_state']} as k2, {_BLOCK['sound_state']} as k3 from rec)"
+
+
+@query(_KEYED_SOUND + " union ".join(f" select a.source_id as source_id_1, b.source_id as source_id_2 from k a join k b on a.{x} = b.{x} and a.source_id < b.source_id" for x in ("k1", "k2", "k3")))
 def candidate_pairs_with_sound(spark, sf_dir):
     return blocking.candidate_pairs(latest(spark, sf_dir), sound=True, hot_block=1000)
 
@@ -323,19 +337,40 @@ def overmatched_clusters(spark, sf_dir):
     return graph.overmatching(*identity_graph(spark, sf_dir)).select("component", F.array_join("warnings", "; ").alias("warnings"))
 
 
-@query()
+# By trial: an edge is a bridge if its end can't be reached from its start without it; a vertex is a cut if one of its neighbours can't reach another without it.
+_WEAK = (
+    COMPONENTS
+    + """,
+walk(s, d, here) as (select src, dst, src from e where weight < 0.8 union select s, d, both_ways.b from walk join both_ways on walk.here = both_ways.a where not (both_ways.a = s and both_ways.b = d) and not (both_ways.a = d and both_ways.b = s)),
+weak as (select comp.component, src, dst, weight from e join comp on e.src = comp.id where weight < 0.8 and not exists (select 1 from walk where walk.s = e.src and walk.d = e.dst and walk.here = e.dst))"""
+)
+_CUTS = (
+    COMPONENTS
+    + """,
+walk(v, here) as (select a, min(b) from both_ways group by 1 union select v, both_ways.b from walk join both_ways on walk.here = both_ways.a where both_ways.b <> v)"""
+)
+_PARTS = (
+    _WEAK
+    + """,
+hit as (select id, component from comp where component in (select component from weak)),
+kept as (select a, b from both_ways where not exists (select 1 from weak where (weak.src = a and weak.dst = b) or (weak.src = b and weak.dst = a))),
+piece(id, r) as (select id, id from hit union select piece.id, kept.b from piece join kept on piece.r = kept.a)"""
+)
+
+
+@query(f"with recursive {_WEAK} select component, src, dst, weight from weak")
 def weak_bridges(spark, sf_dir):
     _, e, c = identity_graph(spark, sf_dir)
     return graph.weak_bridges(e, c, 0.8)
 
 
-@query()
+@query(f"with recursive {_CUTS} select component, id from comp where exists (select 1 from both_ways n where n.a = comp.id and not exists (select 1 from walk where walk.v = comp.id and walk.here = n.b))")
 def articulation_points(spark, sf_dir):
     _, e, c = identity_graph(spark, sf_dir)
     return graph.articulation_points(e, c)
 
 
-@query()
+@query(f"with recursive {_PARTS} select hit.component, hit.id, min(piece.r) as part from hit join piece on hit.id = piece.id group by 1, 2")
 def suggested_splits(spark, sf_dir):
     return graph.suggested_splits(*identity_graph(spark, sf_dir), 0.8)
 

@@ -10,7 +10,11 @@ from linkwright.functions.similarity import location_score, name_similarity, npi
 NAMES = [
     ("SMITH, JOHN A", ("JOHN", "SMITH", "A", None, None)),
     ("John A. Smith, MD", ("John", "Smith", "A", "MD", None)),
-    ("Dr. John Smith", ("John", "Smith", None, None, "Dr.")),
+    ("Dr. John Smith", ("John", "Smith", None, None, "DR")),
+    ("prof John Smith", ("John", "Smith", None, None, "PROF")),
+    ("John Smith MD PhD FACS FACC Jr", ("John", "Smith", None, "MD, PHD, FACS, FACC, JR", None)),
+    ("John Smith, M.D., Ph.D., F.A.C.S., F.A.C.C., F.A.C.P., Sr., III", ("John", "Smith", None, "MD, PHD, FACS, FACC, FACP, SR, III", None)),
+    ("Smith,", (None, "Smith,", None, None, None)),
     ("John Smith MD, PhD", ("John", "Smith", None, "MD, PHD", None)),
     ("Smith", (None, "Smith", None, None, None)),
     ("J. Smith", ("J.", "Smith", None, None, None)),
