@@ -38,8 +38,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left", most_rows: int = 300_000) -> DataFrame:
-    """left joined with a stored table right: broadcast if it was counted and has at most most_rows, else shuffled with right as the hashed side."""
-    return left.join(F.broadcast(right) if right.count() <= most_rows else right.hint("shuffle_hash"), on, how)
+    """left joined with a stored table right: broadcast if it was counted and has at most most_rows, else joined as the planner chooses."""
+    return left.join(F.broadcast(right) if right.count() <= most_rows else right, on, how)
 
 
 def release(spark: SparkSession) -> None:
