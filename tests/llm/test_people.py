@@ -210,3 +210,19 @@ def test_tiles_and_top_give_the_same_links(spark):
     want = pairs()
     assert want and pairs(tile=3) == want and pairs(top=10_000) == want
     assert set(pairs(top=1)) <= set(want)
+
+
+def test_blocks_stay_whole_in_a_broadcast_join(spark):
+    names = ["thornton", "thronton"]
+    rows = [(f"cms_{i:02d}", "cms", names[i % 2], names[i % 2], None, None, None, None, f"{i // 2}", None, None, None, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "source_id string, source string, raw string, surname string, given string, known_given string, middle string, initial string, npi9 string, zip string, facility_id string, specialty_id string, state string")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "64m", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "4k"}
+    keep = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted(tuple(p) for p in variant_pairs(link_variants(df)).collect())
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert got == [(f"cms_{i:02d}", f"cms_{i + 1:02d}") for i in range(0, 60, 2)]
