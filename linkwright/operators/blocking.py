@@ -63,22 +63,28 @@ def candidate_pairs(records: DataFrame, sound: bool = True, initial: bool = Fals
     pairs are the same.
     """
     use = ["npi", "last_state", *(["sound_state"] if sound else []), *(["last_initial"] if initial else [])]
-    keys = F.array(*(F.struct(F.lit(i).alias("s"), KEYS[k]().alias("block")) for i, k in enumerate(use)))
-    rows = records.select("source_id", keys.alias("keys")).select("source_id", F.col("keys.block").alias("own"), F.explode(F.filter("keys", lambda k: k["block"].isNotNull())).alias("k")).select("source_id", "own", "k.s", "k.block")
+    own = [f"own{i}" for i in range(len(use) - 1)]
+    # A row has the keys of the strategies before its own, where its pairs may have met already.
+    keys = F.array(*(F.struct(F.lit(i).alias("s"), F.col(f"key{i}").alias("block"), *(F.when(F.lit(j < i), F.col(f"key{j}")).alias(o) for j, o in enumerate(own))) for i in range(len(use))))
+    rows = records.select("source_id", *(KEYS[k]().alias(f"key{i}") for i, k in enumerate(use)))
+    rows = rows.select("source_id", F.explode(F.filter(keys, lambda k: k["block"].isNotNull())).alias("k")).select("source_id", "k.*")
+    a = b = rows
     on = ["s", "block"]
-    apart = F.lit(True)
+    ordered = F.col("a.source_id") < F.col("b.source_id")
     if hot_block is not None:
         pieces = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("s", "block")) / hot_block).cast("int")
         rows = rows.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("source_id"), F.col("pieces")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-        rows = rows.withColumn("other", other).select("source_id", "own", "s", "block", "piece", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"))
+        # Two pieces meet once, the lower from the left; within a piece the ids decide.
+        a = rows.withColumn("low", F.col("piece")).withColumn("high", F.explode(F.sequence("piece", F.col("pieces") - 1))).drop("pieces", "piece")
+        b = rows.withColumn("high", F.col("piece")).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("piece")))).drop("pieces", "piece")
         on = [*on, "low", "high"]
-        # Records of one piece share the keys with all other pieces, too, but meet under their own only.
-        apart = (F.col("a.piece") != F.col("b.piece")) | (F.col("a.low") == F.col("a.high"))
-    a, b = rows.alias("a"), rows.alias("b")
-    same = F.lit(True)
+        ordered = (F.col("a.low") < F.col("a.high")) | ordered
+    met = ordered
     for c in on:
-        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    earlier = F.exists(F.arrays_zip(F.slice(F.col("a.own"), F.lit(1), F.col("a.s")).alias("x"), F.slice(F.col("b.own"), F.lit(1), F.col("a.s")).alias("y")), lambda z: z["x"] == z["y"])
-    met = a.join(b, same & apart & (F.col("a.source_id") < F.col("b.source_id")))
-    return met.filter(~F.coalesce(earlier, F.lit(False))).select(F.col("a.source_id").alias("source_id_1"), F.col("b.source_id").alias("source_id_2"))
+        met = met & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    for o in own:
+        met = met & ~F.coalesce(F.col(f"a.{o}") == F.col(f"b.{o}"), F.lit(False))
+    pairs = a.alias("a").join(b.alias("b"), met)
+    if hot_block is None:
+        return pairs.select(F.col("a.source_id").alias("source_id_1"), F.col("b.source_id").alias("source_id_2"))
+    return pairs.select(F.least("a.source_id", "b.source_id").alias("source_id_1"), F.greatest("a.source_id", "b.source_id").alias("source_id_2"))

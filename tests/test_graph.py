@@ -82,6 +82,11 @@ def test_hot_blocks_keep_all_pairs(spark, five):
     assert {(f"s{a:02d}", f"s{b:02d}") for a in range(60) for b in range(a + 1, 60) if bool(a % 3) == bool(b % 3)} <= set(every)
 
 
+def test_pairs_are_met_in_generated_code(five):
+    plan = blocking.candidate_pairs(five, hot_block=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" not in plan and "arrays_zip" not in plan  # such functions are interpreted, for every two rows that meet
+
+
 def test_soundex(spark):
     df = spark.createDataFrame([("Smith",), ("Smyth",), ("O'Brien",), ("Ashcraft",), ("Tymczak",)], "n string")
     assert [r[0] for r in df.select(F.soundex("n")).collect()] == ["S530", "S530", "O165", "A261", "T522"]
