@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from linkwright.config import ResolveConfig
 from linkwright.operators import blocking, canonical, graph, matching, network, pruning, reports
+from linkwright.plans import resolution
 from linkwright.plans.pipeline import resolve
 
 
@@ -87,6 +88,13 @@ def test_pairs_are_met_in_generated_code(five):
     assert "exists(" not in plan and "arrays_zip" not in plan  # such functions are interpreted, for every two rows that meet
 
 
+def test_candidate_pairs_cuts_hot_blocks(spark, tmp_path):
+    rows = [(i, f"s{i:04d}", "1234567890", f"Name{i}", None) for i in range(1100)]
+    spark.createDataFrame(rows, "record_id long, source_id string, npi string, name_last string, facility_state string").write.parquet(f"{tmp_path}/source_records.parquet")
+    pairs = resolution.candidate_pairs(spark, str(tmp_path))
+    assert "high" in pairs._jdf.queryExecution().optimizedPlan().toString() and pairs.count() == 1100 * 1099 // 2
+
+
 def test_soundex(spark):
     df = spark.createDataFrame([("Smith",), ("Smyth",), ("O'Brien",), ("Ashcraft",), ("Tymczak",)], "n string")
     assert [r[0] for r in df.select(F.soundex("n")).collect()] == ["S530", "S530", "O165", "A261", "T522"]
