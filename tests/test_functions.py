@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,19 @@ def test_name_similarity(spark):
     df = spark.createDataFrame([("John Smith", " JOHN SMITH "), (None, "x"), ("", "x"), ("John Smith", "Smith John")], "a string, b string")
     got = [r[0] for r in name_similarity(df.coalesce(1), "a", "b").orderBy("a", "b").select("name_similarity").collect()]
     assert sorted(got)[:2] == [0.0, 0.0] and max(got) == 1.0 and 0.5 < sorted(got)[2] < 1.0
+
+
+def test_metrics_of_many_words_are_those_of_one():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("ABCÉ -'") for _ in range(rng.choice((0, 1, 2, 5, 9, 30, 64))))
+    pairs = [(word(), word()) for _ in range(3000)] + [(w := word(), w) for _ in range(50)] + [("MARTHA", "MARHTA"), ("", "")]
+    for name, many in strings.MANY.items():
+        assert many([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [strings.METRICS[name](a, b) for a, b in pairs]
+
+
+def test_metrics_of_pairs_need_no_shuffle(spark):
+    df = spark.createDataFrame([("LEE", "LEIGH"), ("A" * 70, "A" * 69), ("A\x00", "A"), ("Lee", None), ("same", "same")], "a string, b string")
+    got = strings.with_metric(df, "m", F.col("a"), F.col("b"), "ratio", F.col("a") != F.col("b"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(a, b): strings.ratio(a, b) if b and a != b else None for a, b in df.collect()}
+    assert {(r["a"], r["b"]): r["m"] for r in got.collect()} == want
