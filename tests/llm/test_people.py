@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from linkwright.llm.entities import match_entities
@@ -226,3 +227,33 @@ def test_blocks_stay_whole_in_a_broadcast_join(spark):
         for k, v in keep.items():
             spark.conf.set(k, v)
     assert got == [(f"cms_{i:02d}", f"cms_{i + 1:02d}") for i in range(0, 60, 2)]
+
+
+def test_cosines_are_bounded_from_above():
+    from linkwright.llm.variants import FOLDED, Cosines
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghinorst") for _ in range(rng.randint(0, 9))) for _ in range(200)]
+    weights = np.linspace(0.3, 2, SIGMA * SIGMA).astype("float32")
+    x, cosines = vectors(np.array(words), weights), Cosines(np.array(words), weights)
+    p, q = (v.ravel() for v in np.meshgrid(np.arange(200), np.arange(200)))
+    assert np.allclose(cosines.exact(p, q), (x @ x.T)[p, q], atol=1e-5) and (cosines.bound(p, q) >= cosines.exact(p, q) - 1e-5).all()
+    assert cosines.folded.shape == (200, FOLDED)
+
+
+def test_large_and_small_blocks_link_alike(spark):
+    from linkwright.llm.variants import _near
+
+    rng = random.Random(4)
+    names = [f"{a}{b}" for a in ("thorn", "brand", "kelm", "ostr") for b in ("ton", "tno", "berg", "ebrg", "sen")]
+    rows = [(1, False, i, rng.choice(names), "albert", False, "", "a") for i in range(300)]
+    schema = "key long, sure boolean, node long, surname string, given string, known boolean, middle string, initial string"
+    got = _near(spark.createDataFrame(rows, schema).coalesce(1), np.ones(SIGMA * SIGMA, dtype="float32"), 0.62, None).collect()
+    x = vectors(np.array([r[3] for r in rows]), np.ones(SIGMA * SIGMA, dtype="float32"))
+    root = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if x[i] @ x[j] >= 0.62 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert dict(map(tuple, got)) == {i: r for i, r in enumerate(root) if r != i}
