@@ -229,6 +229,19 @@ def test_blocks_stay_whole_in_a_broadcast_join(spark):
     assert got == [(f"cms_{i:02d}", f"cms_{i + 1:02d}") for i in range(0, 60, 2)]
 
 
+def test_npi_of_many_is_none(spark):
+    from linkwright.llm.entities import person_rows
+
+    rng = random.Random(5)
+    row = lambda i, npi, last: (i, "cms", f"cms_{i:03d}", npi, f"Albert {last}", "Albert", last, None, "Hand Surgery", None, "MA", None, None, None)
+    others = ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(30)]
+    rows = [row(i, "1999999999", last) for i, last in enumerate(others)] + [row(100 + i, "1234567893", "Thornton" if i % 3 else "Thronton") for i in range(30)] + [row(200 + i, "1222222222", last) for i, last in enumerate(others[:4])]
+    records = spark.createDataFrame(rows, RECORD).drop("label")
+    mapping = spark.createDataFrame([], "source_id string, canonical_id string")
+    got = {r["source_id"]: r["npi9"] for r in person_rows(records, mapping, *refs(spark)).collect()}
+    assert got == {r[2]: None if r[3] == "1999999999" else r[3][1:] for r in rows}
+
+
 def test_cosines_are_bounded_from_above():
     from linkwright.llm.variants import FOLDED, Cosines
 
