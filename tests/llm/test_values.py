@@ -70,3 +70,12 @@ def test_many_entries_and_long_values(spark):
     got = {(r["list"], r["value"]): r["ref_id"] for r in resolve_values(values, forms + spread).collect()}
     assert got[0, words[33_999]] == "33999" and got[0, words[7]] == "7"
     assert got[1, " ".join(words[:300])] == "wide" and got[1, words[0]] == "UNMATCHED"
+
+
+def test_bitmap_tells_tokens_apart():
+    from linkwright.llm.values import BITMAPS, bitmap
+
+    # One number of 64 bits let 0 pass for 64; no two of the first 384 tokens share a bit now.
+    each = [bitmap([t]) for t in range(64 * len(BITMAPS))]
+    assert len(set(each)) == len(each) and all(sum(b != 0 for b in m) == 1 for m in each)
+    assert bitmap([0, 63, 64, 500]) == tuple(a | b | c | d for a, b, c, d in zip(bitmap([0]), bitmap([63]), bitmap([64]), bitmap([500])))
