@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from linkwright.llm.entities import match_entities
+from linkwright.llm.entities import NONE, _mode, keyed, links_of, match_entities
 from linkwright.llm.people import features, given_names, name_words, state_code, surname_of, valid_npi, zip5
 from linkwright.llm.survivors import held_worse, layers, survivors
 from linkwright.llm.variants import SIGMA, agree, average_linkage, link_variants, name_vectors, spelling, variant_pairs, vectors
@@ -270,3 +270,13 @@ def test_large_and_small_blocks_link_alike(spark):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     assert dict(map(tuple, got)) == {i: r for i, r in enumerate(root) if r != i}
+
+
+def test_links_of_keys_need_no_window(spark):
+    assert _mode(np.array([5, 3, 3, 5, NONE, NONE]), np.array([1, 1, 1, 1, 1, 2])).tolist() == [3, 3, 3, 3, 3, NONE]
+    rows = [(n, "smith", "ann", "ann", "f", None, npi9) for n, npi9 in ((1, "111"), (2, "111"), (3, "222"), (4, "222"), (5, None))] + [(6, "jones", "bo", None, "f", None, None)]
+    nodes = spark.createDataFrame(rows, "node long, surname string, given string, known_given string, facility_id string, middle string, npi9 string").withColumn("label", F.lit(None).cast("string"))
+    links = links_of(keyed(nodes, [("name", ("surname", "given"))]), [])
+    assert "Window" not in links._jdf.queryExecution().executedPlan().toString()
+    found = {r["node"]: (r["to"], r["rule"]) for r in links.collect()}
+    assert found[2] == (1, 1) and found[4] == (3, 1) and set(found) == {2, 4, 5} and found[5][1] == 2
