@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -280,3 +281,21 @@ def test_links_of_keys_need_no_window(spark):
     assert "Window" not in links._jdf.queryExecution().executedPlan().toString()
     found = {r["node"]: (r["to"], r["rule"]) for r in links.collect()}
     assert found[2] == (1, 1) and found[4] == (3, 1) and set(found) == {2, 4, 5} and found[5][1] == 2
+
+
+def test_generated_methods_of_features_are_compiled(spark):
+    """The JVM leaves methods of more than 8,000 bytes to its interpreter."""
+    records, _ = people(spark, 4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = person_features(spark, records, ("record_id", "as_of"))._jdf.queryExecution()
+        text = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_white_space_is_no_part_of_a_name(spark):
+    df = spark.createDataFrame([("Smith\n",), ("Lee",), ("MD",), ("Ng",)], "n string")
+    assert [tuple(r) for r in df.select(name_words(F.col("n")), surname_of(F.col("n"))).collect()] == [(["smith"], "smith"), (["lee"], "lee"), ([], ""), (["ng"], "ng")]
