@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 
 from linkwright.llm.values import UNMATCHED, SHORT_FORMS, WordIndex, edit_distance, map_typed, mapped_values
@@ -79,3 +81,31 @@ def test_bitmap_tells_tokens_apart():
     each = [bitmap([t]) for t in range(64 * len(BITMAPS))]
     assert len(set(each)) == len(each) and all(sum(b != 0 for b in m) == 1 for m in each)
     assert bitmap([0, 63, 64, 500]) == tuple(a | b | c | d for a, b, c, d in zip(bitmap([0]), bitmap([63]), bitmap([64]), bitmap([500])))
+
+
+def test_values_of_the_same_words_are_tied_once(spark, monkeypatch):
+    from linkwright.llm import values
+
+    refs = spark.createDataFrame(SPEC, "specialty_id string, specialty_name string, short_code string")
+    rows = spark.createDataFrame([(v,) for v in ("Hand Surgery", "HAND SURGERY", "hand-surgery", "(Hand) Surgery", "Hand Surgery, MD", "HandSurgery", "Surgery Hand", "P.D.S.", "pds", "other")], "v string")
+    kept = {}
+    store = values.stored
+    monkeypatch.setattr(values, "stored", lambda df, name: kept.setdefault(name, store(df, name)))
+    got = {r["value"]: r["ref_id"] for r in map_typed(rows, "v", refs, "specialty_id", "specialty_name", "short_code").collect()}
+    assert got == {r[0]: "SP2" for r in rows.collect()} | {"P.D.S.": "SP1", "pds": "SP1", "other": UNMATCHED}
+    bags = [r["bag"] for r in kept["bags"].collect()]
+    assert sorted(bags) == ["hand surgery", "handsurgery", "handsurgerymd", "other", "pds", "surgery hand", "surgeryhand"]
+
+
+def test_edit_distance_without_ends_that_agree():
+    def whole(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+                if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    words = ["".join(w) for n in range(6) for w in itertools.product("ab", repeat=n)] + ["abcab", "acbab", "bcaab", "abcabc"]
+    assert all(edit_distance(a, b, most) == min(whole(a, b), most + 1) for a in words for b in words for most in (1, 2, 9))
